@@ -6,6 +6,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -13,6 +14,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -26,8 +28,12 @@ from .words import as_strings, bag_of_words, text_chunks
 END_ID = 2
 #: Ids in a block before it is closed; a longer document is one block.
 BLOCK_IDS = 1 << 15
-#: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
+#: Bytes of text encoded at once.
+CHUNK_BYTES = 3 << 20
+#: New words encoded as one line: the library takes longer to begin a text than to encode a word.
+TOGETHER = 256
+#: Words whose ids a task remembers before it starts anew.
+CACHE_WORDS = 300_000
 MAGIC = b"QSSTABL1"
 FOOTER = struct.Struct("<QQQQQQII8s")  # index offset, size; filter offset, size; documents, ids; hashes, crc32 of all this; magic
 BLOOM_HASHES, BLOOM_BITS = 7, 10
@@ -184,34 +190,62 @@ class TableReader:
         return next((ids for k, ids in self.entries(self.blocks[at]) if k == key), None) if at < len(self.blocks) else None
 
 
+#: A word that ends in ASCII punctuation after an ASCII letter or digit: the tokenizer cuts there in any case. An
+#: apostrophe may begin a token, and <, | and > a special one.
+TAIL = r"^(?P<head>.*[A-Za-z0-9])(?P<tail>[!#$%&()*+,./:;=?@^_~-]+)$"
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never joins across it, so each distinct word is encoded once."""
+    """Ids of whole texts. The tokenizer drops white space and never joins across it, so each distinct word is encoded once.
+
+    So do ASCII words that differ in case only, which it lower-cases, and the punctuation at their end.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[str, int] = {"": 0}
+        self._ids, self._ends = array("I"), array("q", [0, 0])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of words are held; new words are encoded."""
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        words = pc.if_else(plain, pc.ascii_lower(words), words).to_pylist()
+        new = list(dict.fromkeys(w for w in words if w not in self._known))
+        lines = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)]
+        for at in range(0, len(lines), 64):
+            part = lines[at : at + 64]
+            for line, found in zip(part, self._tokenizer.encode_batch([" ".join(x) for x in part], add_special_tokens=False), strict=True):
+                # Words are told apart by where their tokens begin.
+                starts = np.cumsum([len(w) + 1 for w in line])
+                word = np.searchsorted(starts, [a for a, _ in found.offsets], side="right") if found.ids else np.zeros(0, np.int64)
+                ends = len(self._ids) + np.cumsum(np.bincount(word, minlength=len(line)))
+                self._known.update(zip(line, range(len(self._ends) - 1, len(self._ends) - 1 + len(line)), strict=True))
+                self._ids.extend(found.ids)
+                self._ends.extend(ends.tolist())
+        known = self._known
+        return np.fromiter((known[w] for w in words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin (one more than texts)."""
         bag = bag_of_words(texts)
-        words = bag.unique.to_pylist()
-        if len(self._known) + len(words) > CACHE_WORDS:
-            self._known = {}
-        new = [w for w in words if w not in self._known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self._known.update(zip(part, (np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        parts = [self._known[w] for w in words]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        first = np.cumsum(size) - size
-        n = size[bag.codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(first[bag.codes] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[bag.offsets]
+        if len(self._known) > CACHE_WORDS:
+            self._forget()
+        cut = pc.extract_regex(bag.unique, TAIL)
+        whole = cut.is_null()
+        heads = pc.if_else(whole, bag.unique, pc.struct_field(cut, "head"))
+        tails = pc.if_else(whole, "", pc.struct_field(cut, "tail"))
+        places = np.stack([self._places(heads), self._places(tails)], axis=1)[bag.codes].ravel()
+        ends, flat = np.frombuffer(self._ends, np.int64).copy(), np.frombuffer(self._ids, np.uint32).copy()
+        first, n = ends[places], ends[places + 1] - ends[places]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(first - stops[:-1], n) + np.arange(stops[-1])]
+        return ids, stops[2 * bag.offsets]
 
 
 def _open(path: str):
@@ -245,7 +279,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = Non
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = writer = file = None
         name, first = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst", None
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=CHUNK_BYTES):
             if batch.num_rows == 0:
                 continue
             if writer is None:
