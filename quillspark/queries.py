@@ -1,8 +1,9 @@
-"""All queries of the package, by name, and their SQL. Modules of queries add theirs here."""
+"""All queries of the package, by name, and their SQL. Modules of quillspark.plans add theirs with ``query``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,3 +11,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with equivalent SQL where there is any."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+for _name in ("search", "scalars", "documents", "dialog", "relational", "quality", "structured"):
+    import_module(f"quillspark.plans.{_name}")
