@@ -230,7 +230,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, least_words: int =
     empty texts have none; rows of one id and equal text are one document; a null doc_id is smaller than any. Other
     columns are ignored.
     """
-    units = settle(_source(docs).mapInArrow(_occurrences, "doc_id long, th long, pos int, line int, first int, n int, unit long"), "units").distinct()
+    units = settle(_source(docs).mapInArrow(_occurrences, "doc_id long, th long, pos int, line int, first int, n int, unit long"), "units")
     groups = settle(near_units(docs, similarity), "groups")
     document = F.struct("doc_id", "th")
     each = units.groupBy("unit").agg(F.min(document).alias("low"), F.max(document).alias("high"))
@@ -241,6 +241,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, least_words: int =
     marked = settle(loose.unionByName(tied.select("unit", "component_id").join(whole, "component_id").select("unit", "component_id", "low")), "marked")
     found = units.join(marked, "unit")
     run = W.partitionBy("doc_id", "th").orderBy("pos")
+    found = found.withColumn("before", F.lag("pos").over(run)).where("before is null or before != pos")
     stretch = found.withColumn("run", F.col("pos") - F.row_number().over(run))
     long = stretch.withColumn("stretch", F.sum("n").over(W.partitionBy("doc_id", "th", "run"))).where(F.col("stretch") >= least_words)
     return long.select("doc_id", "th", "component_id", "line", "first", F.col("n").alias("n_words"), "pos", (F.struct("doc_id", "th") != F.col("low")).alias("removed"), F.col("low.doc_id").alias("first_doc_id"))
