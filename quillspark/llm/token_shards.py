@@ -28,6 +28,8 @@ from .words import as_strings, bag_of_words, text_chunks
 END_ID = 2
 #: Ids in a block before it is closed; a longer document is one block.
 BLOCK_IDS = 1 << 15
+#: Ids in a shard before a task begins its next: a reader takes a shard as a whole, whatever the input's size.
+SHARD_IDS = 1 << 25
 #: Bytes of text encoded at once.
 CHUNK_BYTES = 3 << 20
 #: New words encoded as one line: the library takes longer to begin a text than to encode a word.
@@ -94,6 +96,11 @@ class TableWriter:
         self._at += len(data)
         return self._at - len(data), len(data)
 
+    @property
+    def size(self) -> int:
+        """Ids taken so far."""
+        return self.n_ids + self._held
+
     def add(self, key: bytes, ids: np.ndarray) -> None:
         self._entries.append((key, len(ids)))
         self._ids.append(ids)
@@ -264,34 +271,49 @@ def _open(path: str):
 MANIFEST = "file string, first_id long, first_hash long, n_docs long, n_ids long"
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None, end_id: int = END_ID, n_shards: int | None = None) -> tuple[str, DataFrame]:
+class _Shard:
+    """One file being written; ``row()`` closes it and gives its line of the manifest."""
+
+    def __init__(self, folder: str, name: str, doc_id: int | None, h: int):
+        self._name, self._first = name, (doc_id, h)
+        self._file = _open(f"{folder}/{name}")
+        self.table = TableWriter(self._file.write)
+
+    def row(self) -> pa.RecordBatch:
+        self.table.close()
+        self._file.close()
+        values = (*self._first, self.table.n_docs, self.table.n_ids)
+        return pa.RecordBatch.from_arrays([pa.array([self._name]), *(pa.array([v], pa.int64()) for v in values)], ["file", "first_id", "first_hash", "n_docs", "n_ids"])
+
+
+def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None, end_id: int = END_ID, n_ranges: int | None = None, shard_ids: int = SHARD_IDS) -> tuple[str, DataFrame]:
     """Writes the token ids of ``docs`` (doc_id, text) and returns the folder and the manifest, one row per shard.
 
-    Every whole text is encoded, a null one as empty, and ``end_id`` follows each document. Shards hold ranges of
-    (doc_id, hash of the text), so that even rows of one id are spread; null ids come first. Each attempt of a task
+    Every whole text is encoded, a null one as empty, and ``end_id`` follows each document. Tasks take ranges of
+    (doc_id, hash of the text), so that even rows of one id are spread; null ids come first. A task begins a new shard
+    after a document that brings it to ``shard_ids`` ids, so shards do not grow with the input. Each attempt of a task
     writes a file of its own name and the manifest names those of the attempts that counted, so a task may run again.
     An empty table writes no shard. Other columns are ignored.
     """
     spark = docs.sparkSession
     folder = out_dir or fresh_path(spark, "token-shards")
-    count = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = writer = file = None
-        name, first = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst", None
+        encoder = shard = None
+        task, attempt, n = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         for batch in text_chunks(batches, limit=CHUNK_BYTES):
-            if batch.num_rows == 0:
-                continue
-            if writer is None:
-                encoder, file = Encoder(tokenizer_path), _open(f"{folder}/{name}")
-                writer, first = TableWriter(file.write), (batch.column("doc_id")[0].as_py(), batch.column("h")[0].as_py())
+            encoder = encoder or Encoder(tokenizer_path)
             ids, ends = encoder.encode(as_strings(batch.column("text")))
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                writer.add(key_of(doc_id), np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)))
-        if writer is not None:
-            writer.close()
-            file.close()
-            yield pa.RecordBatch.from_pylist([{"file": name, "first_id": first[0], "first_hash": first[1], "n_docs": writer.n_docs, "n_ids": writer.n_ids}], pa.schema([("file", pa.string()), *((n, pa.int64()) for n in ("first_id", "first_hash", "n_docs", "n_ids"))]))
+            for i, (doc_id, h) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), strict=True)):
+                if shard is None:
+                    shard, n = _Shard(folder, f"shard-{task:06d}-{n:06d}-{attempt}.sst", doc_id, h), n + 1
+                shard.table.add(key_of(doc_id), np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)))
+                if shard.table.size >= shard_ids:
+                    yield shard.row()
+                    shard = None
+        if shard is not None:
+            yield shard.row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     ranged = rows.repartitionByRange(count, "doc_id", "h").sortWithinPartitions("doc_id", "h")

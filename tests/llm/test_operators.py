@@ -332,7 +332,8 @@ def test_simhash_empty(empty):
 # op 8
 
 
-def test_token_shards_round_trip(spark):
+@pytest.mark.parametrize("shard_ids", [token_shards.SHARD_IDS, 3_000])
+def test_token_shards_round_trip(spark, shard_ids):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
@@ -340,7 +341,7 @@ def test_token_shards_round_trip(spark):
     data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(d, t) for d, t, *_ in edge_rows() if d is not None and d > 3 and d < 6]
     data += [(10**6 + i, t) for i, t in enumerate(["äb ̈c", "İstanbul ΣΑΣ Σ x", "<|startoftext|>x<|endoftext|>", "it's 12 don'T\x85y\x1cz", None, "", " \n"])]
     df = clashing(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in data], DOCS)).repartition(5)
-    folder, manifest = token_shards.write_shards(df, path, n_shards=4)
+    folder, manifest = token_shards.write_shards(df, path, n_ranges=4, shard_ids=shard_ids)
     got = token_shards.read_shards(folder, manifest).orderBy("start").collect()
     want, start = [], 0
     for d, t in sorted(data, key=lambda x: x[0]):
@@ -352,7 +353,8 @@ def test_token_shards_round_trip(spark):
         start += r.n_tokens
     assert [r.doc_id for r in got] == sorted(r.doc_id for r in got)
     files = {r.file: r for r in manifest.collect()}
-    assert len(files) == 4
+    assert len(files) == 4 if shard_ids == token_shards.SHARD_IDS else len(files) > 8
+    assert sum(f.n_ids for f in files.values()) == start and sum(f.n_docs for f in files.values()) == len(got)
     for r in got[::17]:
         reader = token_shards.TableReader(open(f"{folder.removeprefix('file://')}/{r.file}", "rb").read())
         assert len(reader.get(r.doc_id)) >= 1 and reader.get(-5) is None
