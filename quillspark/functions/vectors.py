@@ -13,10 +13,10 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 where either vector is zero; never above 1."""
-    size = norm(a) * norm(b)
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), dot(a, b) / size))
+def cosine(a: Column, b: Column, size: Column | None = None) -> Column:
+    """0 where either vector is zero, null where one is null; never above 1. ``size``: the product of the norms, if known."""
+    size = norm(a) * norm(b) if size is None else size
+    return F.when(size == 0, F.lit(0.0)).when(size.isNotNull(), F.least(F.lit(1.0), dot(a, b) / size))
 
 
 def unit(v: Column) -> Column:

@@ -12,8 +12,8 @@ from ..config import DEFAULTS
 from ..functions import text as T
 from ..functions import vectors as V
 
-#: Most query vectors of a search; they go to every task as a literal.
-MOST_QUERIES = 256
+#: Query vectors in a block; a row of the corpus meets one block at a time.
+BLOCK = 256
 
 
 def where_equal(df: DataFrame, conditions: dict | None) -> DataFrame:
@@ -22,13 +22,21 @@ def where_equal(df: DataFrame, conditions: dict | None) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, used)) if used else df
 
 
-def similarities(queries: list[tuple[int, list[float]]], corpus: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score rounded to 6): each row of the corpus with each of a bounded list of queries, in one scan."""
-    if len(queries) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once")
-    asked = F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), F.array(*map(F.lit, map(float, v))).alias("v")) for q, v in queries])
-    spread = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.explode(asked).alias("q"))
-    return spread.select("q.query_id", "id", F.round(V.cosine(F.col("vec"), F.col("q.v")), 6).alias("score"))
+def similarities(queries: DataFrame, corpus: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score rounded to 6): each row of the corpus with each row of ``queries``, which has the same columns.
+
+    The stated queries are gathered into blocks of about BLOCK vectors. Spark sends the blocks to every task while it knows them to
+    be small, and pairs partitions of both sides beyond that. Null vectors take no part; a zero vector scores 0.
+    """
+    blocks_needed = max(1, -(-queries.count() // BLOCK))
+    vector = F.col(vec_col).cast("array<double>")
+    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), vector.alias("v"), V.norm(F.col(vec_col)).alias("size"))
+    dealt = asked.withColumn("nth", F.monotonically_increasing_id() % blocks_needed)  # evenly, repeated ids too
+    blocks = dealt.groupBy("nth").agg(F.collect_list(F.struct("query_id", "v", "size")).alias("block")).select("block")
+    rows = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vector.alias("vec"), V.norm(F.col(vec_col)).alias("size"))
+    pairs = rows.crossJoin(blocks).select("id", "vec", "size", F.explode("block").alias("q"))
+    score = V.cosine(F.col("vec"), F.col("q.v"), F.col("size") * F.col("q.size"))
+    return pairs.select("q.query_id", "id", F.round(score, 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int = DEFAULTS.top_k, threshold: float | None = None) -> DataFrame:

@@ -32,7 +32,9 @@ def last_write(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
-    """(key, action): created, updated, unchanged or deleted, by hash; a fetch that failed must not be in ``old`` either."""
-    a, b = old.select(key, F.col(digest).alias("_old")), new.select(key, F.col(digest).alias("_new"))
-    action = F.when(F.col("_old").isNull(), "created").when(F.col("_new").isNull(), "deleted").when(F.col("_old") != F.col("_new"), "updated").otherwise("unchanged")
+    """(key, action): created, updated, unchanged or deleted, by hash, where null equals null; a fetch that failed must not be in ``old`` either."""
+    a = old.select(key, F.col(digest).alias("_old"), F.lit(True).alias("_was"))
+    b = new.select(key, F.col(digest).alias("_new"), F.lit(True).alias("_is"))
+    changed = ~F.col("_old").eqNullSafe(F.col("_new"))
+    action = F.when(F.col("_was").isNull(), "created").when(F.col("_is").isNull(), "deleted").when(changed, "updated").otherwise("unchanged")
     return a.join(b, key, "full_outer").select(key, action.alias("action"))

@@ -9,19 +9,18 @@ from ..operators import retrieval as R
 from ..queries import query, table
 from .search import COS
 
-N = 40
-RESULTS = f"(SELECT query_id, ql, rank, ql = label AS relevant FROM (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id AS id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < {N}) q WHERE e.vec_id <> q.vec_id) WHERE rank <= 10)"
+RESULTS = f"(SELECT query_id, ql, rank, ql = label AS relevant FROM (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id AS id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id) WHERE rank <= 10)"
 BY_QUERY = f"(SELECT query_id, any_value(ql) AS label, coalesce(min(rank) FILTER (relevant) <= 1, false) AS hit_1, coalesce(min(rank) FILTER (relevant) <= 5, false) AS hit_5, coalesce(min(rank) FILTER (relevant) <= 10, false) AS hit_10, coalesce(1.0::DOUBLE / min(rank) FILTER (relevant), 0) AS reciprocal_rank FROM {RESULTS} GROUP BY query_id)"
 
 
 def _by_query(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where(F.col("vec_id") < N).select("vec_id", "embedding", "label").orderBy("vec_id").collect()
-    labels = F.create_map(*[F.lit(x) for r in asked for x in (r.vec_id, r.label)])
-    scored = R.similarities([(r.vec_id, r.embedding) for r in asked], vectors).where("id <> query_id")
-    top = R.top_k(scored, 10).join(vectors.select(F.col("vec_id").alias("id"), "label"), "id")
-    hits = E.hits(top.withColumn("relevant", F.col("label") == labels[F.col("query_id")]))
-    return hits.withColumn("label", labels[F.col("query_id")])
+    asked = vectors.where("vec_id % 100 = 0")
+    top = R.top_k(R.similarities(asked, vectors).where("id <> query_id"), 10)
+    wanted = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    judged = top.join(vectors.select(F.col("vec_id").alias("id"), "label"), "id").join(wanted, "query_id")
+    hits = E.hits(judged.withColumn("relevant", F.col("label") == F.col("wanted")))
+    return hits.join(wanted.withColumnRenamed("wanted", "label"), "query_id")
 
 
 def _rate(c):

@@ -103,10 +103,11 @@ def intent(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.intent(F.col("text")).alias("intent"))
 
 
-@query("SELECT doc_id, (length(text) - length(replace(text, ' ', '')))::BIGINT AS spaces, 'passage: ' || substr(text, 1, 40) AS passage, 'query: ' || substr(text, 1, 40) AS query FROM documents")
+@query("SELECT doc_id, (length(text) - length(replace(text, ' ', '')))::BIGINT AS spaces, sha256('passage: ' || text) AS passage_sha256, sha256('query: ' || text) AS query_sha256 FROM documents")
 def embedding_inputs(spark, sf_dir):
-    head = F.substring("text", 1, 40)
-    return _docs(spark, sf_dir).select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit(" ")))).cast("long").alias("spaces"), F.concat(F.lit("passage: "), head).alias("passage"), F.concat(F.lit("query: "), head).alias("query"))
+    spaces = F.length("text") - F.length(F.replace("text", F.lit(" ")))
+    prefixed = [F.sha2(F.concat(F.lit(f"{p}: "), "text"), 256).alias(f"{p}_sha256") for p in ("passage", "query")]
+    return _docs(spark, sf_dir).select("doc_id", spaces.cast("long").alias("spaces"), *prefixed)
 
 
 @query("SELECT doc_id, substr(sha256('Document ' || doc_id || ':' || substr(text, 1, 5000)), 1, 16) AS cache_key FROM documents")
