@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
+from .rows import ROW, keep_least, row_key
 from .scratch import settle
 from .words import as_strings, text_chunks
 
@@ -46,16 +47,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``, fp the fingerprint as a signed long. A null text counts as an empty one."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *also: str) -> DataFrame:
+    """(doc_id, fp): one row per row of ``docs``, fp the fingerprint as a signed long. A null text counts as an empty one.
+
+    ``also`` names columns of longs that are passed on.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             fps = np.array([fingerprint(x) for x in as_strings(batch.column("text")).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            passed = [batch.column(c) for c in ("doc_id", *also)]
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(fps.view(np.int64))], ["doc_id", *also, "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(work, "doc_id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *also, F.col(text_col).alias("text"))
+    return source.mapInArrow(work, ", ".join(f"{c} long" for c in ("doc_id", *also, "fp")))
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -220,13 +225,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row of the smallest doc_id stays.
+    """``docs`` without near-duplicates: of each component the row of the smallest doc_id stays, nulls last.
 
-    Of rows that share that doc_id one stays. Rows with a null doc_id stay only where their component has no other id,
-    again one of them.
+    Rows are told apart by all their columns, so null ids and repeated ids lose no component.
     """
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    named = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = named.select(key.alias("__qs_key")).distinct()
-    kept = docs.withColumn("__qs_key", key).join(stay, "__qs_key", "left_semi").dropDuplicates(["__qs_key"])
-    return kept.select(*docs.columns)
+    own = settle(fingerprints(docs.withColumn(ROW, row_key(docs)), "doc_id", "text", ROW), "fingerprints")
+    groups = components(linked(settle(own.select("fp").distinct(), "distinct"), radius))
+    named = own.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
+    return keep_least(docs, named.select("doc_id", ROW, F.coalesce("component", "fp").alias("component")))
