@@ -18,8 +18,8 @@ from .words import HASH_BYTES, hashed_words, text_chunks
 VOCABULARY, CLASSES, EMBEDDED = 32_768, 64, 4_096
 #: Words on either side, sizes of an embedding and of the hidden layer.
 SIDE, DIM, HIDDEN = 2, 12, 32
-#: Every STRIDE-th position of every document trains, in ROUNDS passes whose models are averaged.
-STRIDE, ROUNDS, BATCH, RATE = 16, 2, 2_048, 0.02
+#: Every position of every document trains, in one of ROUNDS passes whose models are averaged.
+ROUNDS, BATCH, RATE = 2, 2_048, 0.02
 #: Windows scored at once.
 FORWARD = 1 << 16
 
@@ -131,7 +131,13 @@ def lexicon(docs: DataFrame, size: int = VOCABULARY) -> Lexicon:
     return Lexicon.of(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.float64), total[0], total[1])
 
 
-def _trainer(sent):
+def training_positions(offsets: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The words that train in a round: in each text, one in ``rounds``; the rounds together take every word once."""
+    place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+    return np.flatnonzero(place % rounds == turn)
+
+
+def _trainer(sent, turn: int, rounds: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, network = sent.value
         network = network.filled(network.flat().copy())
@@ -140,13 +146,12 @@ def _trainer(sent):
         for batch in text_chunks(batches, limit=HASH_BYTES):
             found = hashed_words(batch.column("text"))
             ids, text = words.look_up(found.hashes), found.text_of_word
-            place = np.arange(len(ids)) - found.offsets[text]
-            at = np.flatnonzero(place % STRIDE == found.lengths[text] % STRIDE % np.maximum(found.lengths[text], 1))
+            at = training_positions(found.offsets, turn, rounds)
             held = [np.concatenate([held[0], _contexts(words.embedding[ids], text, at)]), np.concatenate([held[1], words.word_class[ids[at]]])]
-            while len(held[1]) >= BATCH:
-                network.train(held[0][:BATCH], held[1][:BATCH], memory)
-                seen += BATCH
-                held = [x[BATCH:] for x in held]
+            full = len(held[1]) // BATCH * BATCH
+            for a in range(0, full, BATCH):
+                network.train(held[0][a : a + BATCH], held[1][a : a + BATCH], memory)
+            seen, held = seen + full, [x[full:] for x in held]
         if len(held[1]):
             network.train(*held, memory)
             seen += len(held[1])
@@ -173,9 +178,9 @@ def train(docs: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Network:
     """
     spark, network = docs.sparkSession, Network.start()
     schema = "weights array<float>, n double"
-    for _ in range(rounds):
+    for turn in range(rounds):
         sent = spark.sparkContext.broadcast((words, network))
-        each = docs.select("text").mapInArrow(_trainer(sent), schema)
+        each = docs.select("text").mapInArrow(_trainer(sent, turn, rounds), schema)
         means = each.repartition(8).mapInArrow(_average, schema).toArrow()
         if means.num_rows:
             rows, n = [np.asarray(x.values, np.float64) for x in means.column("weights")], means.column("n").to_numpy()
