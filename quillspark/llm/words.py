@@ -114,9 +114,36 @@ class HashedWords:
         return np.repeat(np.arange(len(self.offsets) - 1), self.lengths)
 
 
+def _parts(data: np.ndarray) -> list[int]:
+    """Where a long text is cut: at the first white space after each HASH_BYTES."""
+    cuts = [0]
+    while len(data) - cuts[-1] > HASH_BYTES:
+        at = cuts[-1] + HASH_BYTES
+        while at < len(data) and not (blank := SPACE[data[at : at + HASH_BYTES]]).any():
+            at += HASH_BYTES
+        cuts.append(min(at + int(blank.argmax()), len(data)) if at < len(data) else len(data))
+    return cuts if cuts[-1] == len(data) else [*cuts, len(data)]
+
+
 def hashed_words(texts: pa.Array, lower: bool = True) -> HashedWords:
-    """Words between ASCII white space, hashed from the bytes of a batch without making strings; ``lower`` maps A-Z."""
+    """Words between ASCII white space, hashed from the bytes of a batch without making strings; ``lower`` maps A-Z.
+
+    A single text of more than HASH_BYTES is hashed in parts, so that it takes a few times its bytes and not fifty.
+    """
     texts = as_strings(texts)
+    if len(texts) != 1 or (size := pc.binary_length(texts)[0].as_py()) <= HASH_BYTES:
+        return _hashed(texts, lower)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[np.frombuffer(texts.buffers()[1], np.int64)[texts.offset] :][:size]
+    found, lines, cuts = [], 0, _parts(data)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        part = _hashed(pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, b - a], np.int64)), pa.py_buffer(data[a:b])]), lower)
+        found.append((part.hashes, part.begin + a, part.end + a, part.line + lines))
+        lines += int(np.count_nonzero(part.data == 10))
+    hashes, begin, end, line = (np.concatenate(x) for x in zip(*found, strict=True))
+    return HashedWords(hashes, np.array([0, len(hashes)]), begin, end, line, data)
+
+
+def _hashed(texts: pa.Array, lower: bool) -> HashedWords:
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     buffer = texts.buffers()[2] if len(texts) else None
     data = np.frombuffer(buffer, np.uint8)[bounds[0] : bounds[-1]] if buffer is not None and bounds[-1] > bounds[0] else np.zeros(0, np.uint8)

@@ -6,12 +6,14 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat, cotraining, decontaminate, licenses, mixing, paragraphs, prefix_forest, pseudo_likelihood, queries, simhash, token_shards
 from quillspark.llm.components import components
+from quillspark.llm.scratch import settle
 from quillspark.llm.words import hashed_words
 
 from .helpers import DOCS, clashing, components_of, edge_rows, prose
@@ -172,38 +174,58 @@ def test_chat_reply_trees_rank_branches(spark):
 # op 4
 
 
+def _model(docs, **options):
+    counts = pseudo_likelihood.word_counts(docs).df
+    words = pseudo_likelihood.lexicon(counts, **options)
+    encoded = settle(pseudo_likelihood.encode(docs, words).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    return counts, words, encoded, counts.agg(F.sum("n")).first()[0]
+
+
 def test_pseudo_likelihood_against_plain_loops(spark):
+    """Every token by a loop over the formula; most counts are joined, not sent."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    words = pseudo_likelihood.lexicon(docs, size=2_000)
-    network = pseudo_likelihood.train(docs, words)
+    counts, words, encoded, total = _model(docs, sent=100)
+    network = pseudo_likelihood.train(encoded, total, pseudo_likelihood.Network.start(words.log_mass))
     texts = {r.doc_id: r.text for r in docs.limit(6).collect()}
-    counts = Counter(w.lower() for r in docs.select("text").collect() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text))
-    assert sum(counts.values()) == pytest.approx(docs.select(F.sum(mixing.size_of())).first()[0])
-    got = {r.doc_id: r for r in pseudo_likelihood.score(docs.limit(6), words, network).collect()}
+    every = Counter(w.translate(decontaminate.UPPER) for r in docs.select("text").collect() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert sum(every.values()) == total
+    hashes = {w: hashed_words(pa.array([w])).hashes for w in every}
+    cell = {w: int(words.encode(h)[0][0]) for w, h in hashes.items()}
+    mass = Counter()
+    for w, n in every.items():
+        mass[cell[w]] += n
+    got = {r.doc_id: r for r in pseudo_likelihood.score(encoded, counts, network).collect()}
+    softmax = lambda z: np.exp(z) / np.exp(z).sum()
     for doc_id, text in texts.items():
-        import pyarrow as pa
-
-        ids = words.look_up(hashed_words(pa.array([text])).hashes)
+        said = [w.translate(decontaminate.UPPER) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
         total = 0.0
-        for i, w in enumerate(ids):
-            around = [words.embedding[ids[i + k]] if 0 <= i + k < len(ids) else len(network.table) - 1 for k in (-2, -1, 1, 2)]
+        for i, w in enumerate(said):
+            around = [cell[said[i + k]] if 0 <= i + k < len(said) else pseudo_likelihood.CELLS for k in (-2, -1, 1, 2)]
             hidden = np.tanh(np.concatenate([network.table[a] for a in around]) @ network.w1 + network.b1)
-            z = hidden @ network.w2 + network.b2
-            total += z[words.word_class[w]] - np.log(np.exp(z).sum()) + words.inside[w]
-        assert got[doc_id].n_tokens == len(ids) and got[doc_id].sum_logprob == pytest.approx(total, rel=1e-4)
+            g, m = divmod(cell[w], pseudo_likelihood.MEMBERS)
+            total += np.log(softmax(hidden @ network.w2 + network.b2)[g]) + np.log(softmax(hidden @ network.u[g] + network.c[g])[m]) + np.log(every[w] / mass[cell[w]])
+        assert got[doc_id].n_tokens == len(said) and got[doc_id].sum_logprob == pytest.approx(total, rel=1e-4)
+
+
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, eight = ({r.doc_id: r.sum_logprob for r in pseudo_likelihood.pseudo_likelihood(docs.repartition(n)).collect()} for n in (1, 8))
+    assert one == pytest.approx(eight, rel=1e-6)
 
 
-def test_pseudo_likelihood_learns_and_is_normalised(spark):
+def test_pseudo_likelihood_learns_the_word_from_both_sides(spark, monkeypatch):
+    """The order of words is learnt by several shards, whose networks are averaged part by part."""
+    monkeypatch.setattr(pseudo_likelihood, "MEAN_OF", 2)
     rng = random.Random(1)
     order = [" ".join(f"w{(s + i) % 50}" for i in range(200)) for s in range(50)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(order * 8)], "doc_id long, text string")
-    words = pseudo_likelihood.lexicon(docs)
-    assert np.exp(words.inside[:-1]) @ (words.word_class[:-1, None] == np.arange(pseudo_likelihood.CLASSES)) == pytest.approx(np.bincount(words.word_class[:-1], minlength=pseudo_likelihood.CLASSES).clip(max=1).astype(float))
-    network = pseudo_likelihood.train(docs, words, rounds=6)
     shuffled = order[0].split()
     rng.shuffle(shuffled)
-    got = {r.doc_id: r.mean_logprob for r in pseudo_likelihood.score(spark.createDataFrame([(0, order[0]), (1, " ".join(shuffled))], "doc_id long, text string"), words, network).collect()}
-    assert got[0] > got[1] + 0.5
+    docs = docs.unionByName(spark.createDataFrame([(1000, order[0]), (1001, " ".join(shuffled))], "doc_id long, text string"))
+    counts, words, encoded, total = _model(docs)
+    network = pseudo_likelihood.train(encoded, total, pseudo_likelihood.Network.start(words.log_mass), rounds=4, shard_words=total // 5)
+    got = {r.doc_id: r.mean_logprob for r in pseudo_likelihood.score(encoded, counts, network).collect()}
+    assert got[1000] > got[1001] + 0.5
 
 
 def test_pseudo_likelihood_edges(spark, edges, empty):

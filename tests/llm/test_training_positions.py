@@ -1,26 +1,35 @@
-"""The network of pseudo_likelihood learns from every word of every text."""
+"""The network of pseudo_likelihood learns from every word of every text; long texts are hashed in parts."""
 
 import numpy as np
 import pyarrow as pa
 
-from quillspark.llm import pseudo_likelihood
+from quillspark.llm import pseudo_likelihood, words
 
 from .helpers import edge_rows
 
 
-class Sent:
-    def __init__(self, value):
-        self.value = value
-
-
 def test_every_position_trains_once():
-    texts = [r[1] for r in edge_rows()]
-    docs = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    words = sum(len((t or "").encode().split()) for t in texts)
-    sent = Sent((pseudo_likelihood.Lexicon.of(np.zeros(0, np.uint64), np.zeros(0), 0, 0), pseudo_likelihood.Network.start()))
+    texts = [(r[1] or "").encode().split() for r in edge_rows()]
+    offsets = np.cumsum([0, *map(len, texts)])
+    cells = np.arange(offsets[-1]) % pseudo_likelihood.CELLS
     for rounds in (1, pseudo_likelihood.ROUNDS, 5):
-        seen = [b.column("n")[0].as_py() for turn in range(rounds) for b in pseudo_likelihood._trainer(sent, turn, rounds)(iter([docs]))]
-        assert sum(seen) == words
+        seen = 0
+        for turn in range(rounds):
+            trainer = pseudo_likelihood._Trainer(pseudo_likelihood.Network.start(), turn, rounds)
+            trainer.take(cells, offsets)
+            trainer.row(0)
+            seen += trainer.seen
+        assert seen == offsets[-1]
     offsets = np.array([0, 0, 1, 6, 6, 40])
     every = np.concatenate([pseudo_likelihood.training_positions(offsets, k, 3) for k in range(3)])
     assert sorted(every.tolist()) == list(range(40))
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    texts = ["ab cd\nEf  " * 900 + "x" * 5_000 + " end\nword", "y" * 3_000, " " * 3_000, "a b " * 500]
+    whole = [words.hashed_words(pa.array([t])) for t in texts]
+    monkeypatch.setattr(words, "HASH_BYTES", 700)
+    for t, want in zip(texts, whole, strict=True):
+        got = words.hashed_words(pa.array([t]))
+        for name in ("hashes", "offsets", "begin", "end", "line", "data"):
+            assert np.array_equal(getattr(got, name), getattr(want, name)), name
