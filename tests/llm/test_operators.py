@@ -55,7 +55,7 @@ def test_components_match_union_find(spark):
 def test_cotraining_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     known = labels.withColumn("held", F.col("doc_id") % 3 == 0)
-    model = cotraining.train(docs, known.where("not held"))
+    model = cotraining.train(settle(cotraining.views(docs), "views"), known.where("not held"))
     got = cotraining.score(docs, model).join(known.where("held").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id").select("keep", "quality").collect()
     good, bad = [r.keep for r in got if r.quality == 1], [not r.keep for r in got if r.quality == 0]
     assert np.mean(good) >= 0.95 and np.mean(bad) >= 0.8
@@ -67,7 +67,10 @@ def test_cotraining_exchanges_labels():
     y = rng.integers(0, 2, 900).astype(float)
     text = np.stack([y * 4 + rng.normal(0, 0.5, 900), rng.normal(0, 1, 900)], axis=1)
     meta = np.stack([y + rng.normal(0, 0.4, 900), rng.normal(0, 1, 900)], axis=1)
-    model = cotraining.CoTrained.fit(text[:40], meta[:40], y[:40], text[40:500], meta[40:500])
+    parts = np.array_split(np.arange(40, 500), 7)
+    model = cotraining.CoTrained.fit(text[:40], meta[:40], y[:40], lambda f: sum(f(text[p], meta[p]) for p in parts))
+    alone = cotraining.CoTrained.fit(text[:40], meta[:40], y[:40], lambda f: f(text[:0], meta[:0]))
+    assert np.abs(model.meta.model.weights - alone.meta.model.weights).max() > 0.05
     _, own, both = model.scores(text[500:], meta[500:])
     assert np.mean((own > 0.5) == (y[500:] == 1)) > 0.85
     assert np.mean((both > 0.5) == (y[500:] == 1)) > 0.98
@@ -83,6 +86,25 @@ def test_cotraining_edges(spark, edges, empty):
     assert {r.keep for r in got.join(edges.where("doc_id in (2, 3)").select("doc_id"), "doc_id").where("score = 0").collect()} == {False}
 
 
+def test_keep_good_leaves_columns_as_they_are(spark, edges):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    some = spark.read.parquet(f"{SF}/documents.parquet").unionByName(edges)
+    own = some.withColumns({"score": F.lit(7), "keep": F.lit(False), "text_score": F.lit("x"), "size": F.lit(3), "th": F.lit(None).cast("int")})
+    kept = cotraining.keep_good(own, labels)
+    assert kept.schema == own.schema
+    assert {(r.score, r.keep, r.text_score, r.size, r.th) for r in kept.collect()} == {(7, False, "x", 3, None)}
+    good = cotraining.classify(some, labels).where("keep").groupBy("doc_id").count().collect()
+    assert sorted(map(tuple, good), key=str) == sorted(map(tuple, kept.groupBy("doc_id").count().collect()), key=str)
+
+
+def test_histogram_edges_take_whole_bins():
+    counts = np.zeros(cotraining.BINS)
+    counts[[3, 10, 20]] = 50, 5, 4
+    step = lambda k: cotraining.SURE + cotraining.BIN * k
+    assert cotraining.edge(counts, 9) == pytest.approx(step(4)) and cotraining.edge(counts, 1) == pytest.approx(step(20))
+    assert cotraining.edge(counts, 100) == pytest.approx(cotraining.SURE) and cotraining.edge(counts * 0, 9) == np.inf
+
+
 # op 2
 
 
