@@ -278,12 +278,15 @@ class CoTrained:
         return cls(*calibrated(), float(np.log(y.mean() / (1 - y.mean()))))
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated probabilities of the views, and of both: their log-odds add up, the prior counts once.
-
-        The score of a text without words is 0.
-        """
+        """Calibrated probabilities of the views, and of both: their log-odds add up, the prior counts once."""
         a, b = self.text.logit(text), self.meta.logit(meta)
-        return _sigmoid(a), _sigmoid(b), np.where(text[:, 0] > 0, 0.0, _sigmoid(a + b - self.prior))
+        return _sigmoid(a), _sigmoid(b), _sigmoid(a + b - self.prior)
+
+
+def _scores(model: CoTrained, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The scores of rows; that of a text without words is 0."""
+    a, b, both = model.scores(text, meta)
+    return a, b, np.where(text[:, 0] > 0, 0.0, both)
 
 
 VIEWS = "doc_id long, th long, text_view binary, lang string, source string, size double"
@@ -374,7 +377,7 @@ def _scored(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, limit=HASH_BYTES):
             text, meta = text_view(batch.column("text")), meta_view(*(batch.column(f"__qs_{c}") for c in ("lang", "source", "size")))
-            new = dict(zip((TEXT_SCORE, META_SCORE, SCORE), sent.value.scores(text.astype(np.float64), meta), strict=True))
+            new = dict(zip((TEXT_SCORE, META_SCORE, SCORE), _scores(sent.value, text.astype(np.float64), meta), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(new[n]) if n in new else batch.column(n) for n in batch.schema.names], schema=batch.schema)
 
     return full.mapInArrow(work, full.schema).drop("__qs_lang", "__qs_source", "__qs_size")
@@ -408,7 +411,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
         for batch in batches:
             for at in range(0, batch.num_rows, 4_096):
                 part = batch.slice(at, 4_096)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, sent.value.scores(*_both(part)))], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, _scores(sent.value, *_both(part)))], ["doc_id", *names])
 
     found = table.mapInArrow(work, "doc_id long, text_score double, meta_score double, score double")
     return found.withColumn("keep", F.col("score") >= threshold)

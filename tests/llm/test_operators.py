@@ -62,14 +62,14 @@ def test_cotraining_on_held_out_labels(spark):
 
 
 def test_cotraining_exchanges_labels():
-    """The metadata view learns from the text view's pseudo-labels: without them it has two rows to learn from."""
+    """The metadata view learns from the text view's pseudo-labels: what they add up to comes in parts."""
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 900).astype(float)
     text = np.stack([y * 4 + rng.normal(0, 0.5, 900), rng.normal(0, 1, 900)], axis=1)
     meta = np.stack([y + rng.normal(0, 0.4, 900), rng.normal(0, 1, 900)], axis=1)
-    parts = np.array_split(np.arange(40, 500), 7)
-    model = cotraining.CoTrained.fit(text[:40], meta[:40], y[:40], lambda f: sum(f(text[p], meta[p]) for p in parts))
-    alone = cotraining.CoTrained.fit(text[:40], meta[:40], y[:40], lambda f: f(text[:0], meta[:0]))
+    parts = np.array_split(np.arange(120, 500), 7)
+    model = cotraining.CoTrained.fit(text[:120], meta[:120], y[:120], lambda f: sum(f(text[p], meta[p]) for p in parts))
+    alone = cotraining.CoTrained.fit(text[:120], meta[:120], y[:120], lambda f: f(text[:0], meta[:0]))
     assert np.abs(model.meta.model.weights - alone.meta.model.weights).max() > 0.05
     _, own, both = model.scores(text[500:], meta[500:])
     assert np.mean((own > 0.5) == (y[500:] == 1)) > 0.85
