@@ -130,13 +130,46 @@ def test_forest_recall_on_real_vectors(spark):
     assert all(abs(s - exact[q, i]) < 1e-12 for q, x in got.items() for i, s in x.items() if (q, i) in exact)
 
 
-def test_forest_recall_beyond_the_floor():
-    data = np.random.default_rng(2).standard_normal((6_000, 64))
-    forest = prefix_forest.Forest(data, prefix_forest.Hashes.fit(data[:4_096]))
-    asks = data[:60]
-    found = forest.candidates(asks, int(prefix_forest.SHARE * len(data)))
-    want = np.argsort(((asks[:, None] - data[None]) ** 2).sum(2), axis=1)[:, 1:11]
-    assert np.mean([np.isin(w, c).mean() for w, c in zip(want, found, strict=True)]) >= 0.9
+def _forest_recall(data, asks, k=10):
+    """(recall of the k nearest, share of the vectors met)."""
+    forest = prefix_forest.Forest(data, prefix_forest.Hashes(data[:4_096].mean(axis=0)))
+    found = [near for near, _ in forest.search(asks, k + 1)]
+    want = [np.argsort(((data - q) ** 2).sum(1))[: k + 1] for q in asks]
+    return np.mean([np.isin(w, c).mean() for w, c in zip(want, found, strict=True)]), forest.met / len(asks) / len(data)
+
+
+def test_forest_meets_few_vectors_of_clusters_and_more_where_there_are_none():
+    r = np.random.default_rng(2)
+    centres = r.standard_normal((100, 64))
+    clustered = centres[r.integers(0, 100, 8_000)] + 0.3 * r.standard_normal((8_000, 64))
+    recall, met = _forest_recall(clustered, clustered[:60])
+    assert recall >= 0.95 and met < 0.05
+    gaussian = r.standard_normal((6_000, 64))
+    recall, met = _forest_recall(gaussian, gaussian[:60])
+    assert recall >= 0.9 and met < 0.8
+
+
+def test_forest_descends_to_the_longest_prefix():
+    r = np.random.default_rng(4)
+    forest = prefix_forest.Forest(r.standard_normal((500, 8)), prefix_forest.Hashes(np.zeros(8), trees=5))
+    asks = np.concatenate([r.standard_normal((20, 8)), forest.vectors[:3]])
+    strings, mine = forest.hashes.strings(asks), forest.hashes.strings(forest.vectors)
+    same = lambda a, b: 32 - int(a ^ b).bit_length()
+    assert forest.longest(strings).tolist() == [[max(same(int(q), int(x)) for x in mine[t]) for q in strings[t]] for t in range(5)]
+
+
+def test_forest_over_several_shards_and_blocks(spark):
+    """Many small cells: more than one shard, block, and cell in a partition; each small enough to be searched exactly."""
+    r = np.random.default_rng(6)
+    data = r.standard_normal((900, 16)).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, embedding array<float>")
+    got = {}
+    for row in prefix_forest.nearest(table, F.col("vec_id") % 20 == 0, shard_rows=200, block_queries=10, miss=0.0).collect():
+        got.setdefault(row.query_id, []).append((row.rank, row.vec_id))
+    for q in range(0, 900, 20):
+        d = ((data.astype(float) - data[q].astype(float)) ** 2).sum(1)
+        want = [i for i in np.lexsort((np.arange(900), d)).tolist() if i != q][:10]
+        assert [i for _, i in sorted(got[q])] == want
 
 
 def test_forest_edges(spark):
