@@ -338,24 +338,63 @@ def test_contamination_empty_tables(spark, edges, empty):
 # op 6
 
 
-def test_licenses_are_found_and_prose_is_left_alone(spark):
+@pytest.fixture(scope="module")
+def license_model():
+    return licenses.train()
+
+
+def _found(spark, model, texts):
+    got = licenses.scan(clashing(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)), model).collect()
+    return [sorted((r.family, r.confirmed) for r in got if r.doc_id == i) for i in range(len(texts))], got
+
+
+def test_licenses_are_found_and_prose_is_left_alone(spark, license_model):
     rng = random.Random(2)
     notes = {f: t[0] for f, t in licenses.TEMPLATES.items()}
-    docs = [(i, f"{prose(rng, 80)}\n{t}\n{prose(rng, 40)}") for i, t in enumerate(notes.values())]
-    docs += [(100 + i, f"{prose(rng, 60)} {t} {prose(rng, 200)}") for i, t in enumerate(notes.values())]
-    docs += [(1000, "Distributed under the Frobnicator License agreement of the vendor, version 9."), (1001, "driving licenses rise " + prose(rng, 30)), (1002, None), (1003, "")]
-    got = licenses.scan(clashing(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], DOCS))).collect()
-    found = {r.doc_id: r for r in got}
-    assert [found[i].family for i in range(len(notes))] == list(notes) and all(found[i].confirmed and found[i].paragraph == 1 for i in range(len(notes)))
-    assert np.mean([found.get(100 + i) is not None and found[100 + i].family == f for i, f in enumerate(notes)]) >= 0.8
-    assert all(not r.confirmed for r in got if r.doc_id >= 1000)
-    by = dict(docs)
-    assert all(by[r.doc_id][r.start : r.start + r.length] in by[r.doc_id].split("\n") for r in got)
+    texts = [f"{prose(rng, 80)}\n\n{t}\n\n{prose(rng, 40)}" for t in notes.values()] + [f"{prose(rng, 60)} {t} {prose(rng, 200)}" for t in notes.values()]
+    plain = [prose(rng, 300), "of the " * 80, "mit " * 50, "driving licenses rise " + prose(rng, 30), "Ich gehe mit dir und mit dem Hund", None, ""]
+    found, rows = _found(spark, license_model, texts + plain)
+    want = [[(f, True)] for f in notes]
+    assert found[: len(notes)] == want
+    assert np.mean([(f, True) in x for f, x in zip(notes, found[len(notes) :], strict=False)]) >= 0.8
+    assert all(not x for x in found[2 * len(notes) :])
+    by_paragraph = [r for r in rows if r.doc_id < len(notes)]
+    assert all(r.paragraph == 1 and abs(r.start - texts[r.doc_id].index(list(notes.values())[r.doc_id])) <= 2 for r in by_paragraph)
+    assert all(texts[r.doc_id][r.start : r.start + r.length].strip() for r in rows)
+
+
+def test_licenses_in_wrapped_lines_and_short_forms(spark, license_model):
+    """Real notices as they are written: wrapped, in comments, by SPDX tag, two at once; unlisted families are unknown."""
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software"
+    apache = "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#     http://www.apache.org/licenses/LICENSE-2.0"
+    one = {gpl: "GPL-3.0", mit: "MIT", apache: "Apache-2.0", "SPDX-License-Identifier: MIT": "MIT", "Released under GPLv3": "GPL-3.0", "CC BY-SA 4.0": "CC-BY-SA", "Creative Commons Attribution 4.0 International": "CC-BY", "Licensed under the MIT licence": "MIT"}
+    assert _found(spark, license_model, list(one))[0] == [[(f, True)] for f in one.values()]
+    two = ["Dual MIT/Apache-2.0", "SPDX-License-Identifier: MIT OR Apache-2.0", "This is licensed under either the MIT license or the Apache License, Version 2.0 at your option."]
+    assert all([f for f, _ in x] == ["Apache-2.0", "MIT"] for x in _found(spark, license_model, two)[0])
+    other = ["Licensed under the Eclipse Public License v1.0.", "Licensed under the Artistic License 2.0.", "Distributed under the Frobnicator License agreement of the vendor, version 9."]
+    assert _found(spark, license_model, other)[0] == [[("unknown", False)]] * 3
+
+
+def test_licenses_windows_cover_every_word():
+    """Paragraphs and windows against plain Python."""
+    rng = random.Random(9)
+    texts = ["\n".join(rng.choice(["", " ", prose(rng, rng.randint(1, 30))]) for _ in range(12)) for _ in range(30)] + [None, "", prose(rng, 700)]
+    found = hashed_words(licenses.normal(pa.array(texts)))
+    starts = licenses.paragraphs_of(found)
+    want = [len(p.split()) for t in texts for p in re.split(r"\n[ \t]*\n\s*", (t or "").strip()) if p.split()]
+    ends = np.append(starts[1:], len(found.hashes))
+    assert (ends - starts).tolist() == want
+    begin, end, owner = licenses._windows(starts, ends)
+    covered = {i for b, e in zip(begin, end, strict=True) for i in range(b, e)}
+    assert covered == set(range(len(found.hashes))) and (begin >= starts[owner]).all() and (end <= ends[owner]).all()
 
 
 def test_licenses_edges(spark, edges, empty):
     assert licenses.scan(edges).where("confirmed").count() == 0
     assert licenses.scan(empty).count() == 0
+    twice = spark.createDataFrame([(None, "Released under the MIT License.", "en", "s", 1)] * 2, DOCS)
+    assert [r.family for r in licenses.scan(twice).collect()] == ["MIT", "MIT"]
 
 
 # op 7
