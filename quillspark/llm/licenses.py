@@ -312,6 +312,8 @@ def _named(model: LicenseModel, words: np.ndarray, near: np.ndarray, said: dict[
         k = todo.pop(0)
         own = model.distinctive[model.families[k]]
         b, e, p = said.get(k, (0, len(words), 0.0))
+        if len(like) == 1:
+            b, e = 0, len(words)
         if not first:
             again = model.probabilities(left, np.zeros(1, np.int64), np.array([len(left)])) if len(left) else None
             p = max(p, float(again[0, k])) if again is not None else p
