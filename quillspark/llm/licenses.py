@@ -312,8 +312,6 @@ def _named(model: LicenseModel, words: np.ndarray, near: np.ndarray, said: dict[
         k = todo.pop(0)
         own = model.distinctive[model.families[k]]
         b, e, p = said.get(k, (0, len(words), 0.0))
-        if len(like) == 1:
-            b, e = 0, len(words)
         if not first:
             again = model.probabilities(left, np.zeros(1, np.int64), np.array([len(left)])) if len(left) else None
             p = max(p, float(again[0, k])) if again is not None else p
@@ -353,8 +351,9 @@ def find(model: LicenseModel, words: np.ndarray, starts: np.ndarray) -> list[tup
             said[k] = min(old[0], int(begin[i])), max(old[1], int(end[i])), max(old[2], float(best[i]))
         near = words[max(int(starts[paragraph]), low - 40) : min(int(ends[paragraph]), high + 40)]
         said = {k: (b - low, e - low, p) for k, (b, e, p) in said.items()}
-        for k, b, e, p, like in _named(model, words[low:high], near, said):
-            b, e = b + low, e + low
+        named = list(_named(model, words[low:high], near, said))
+        for k, b, e, p, like in named:
+            b, e = (b + low, e + low) if len(named) > 1 else (low, high)
             while b < e - 1 and model.look_up(words[b : b + 1])[0] < 0:
                 b += 1
             while e > b + 1 and model.look_up(words[e - 1 : e])[0] < 0:
