@@ -27,6 +27,10 @@ REACH = 6
 LEAST_WORDS = 16
 #: Bits of the filter of colliding bands that is sent to the tasks, whatever their number.
 FILTER_BITS = 1 << 26
+#: Paragraphs of one band compared in one go. A band of more, one of the CROWDED largest, is cut into smaller ones by a
+#: second hash, once under each of SECOND permutations: a pair of similarity 0.8 stays together in one of them with a
+#: probability of 0.9997.
+BAND_PART, CROWDED, SECOND = 2_000, 1 << 18, 5
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 1) -> int:
@@ -91,10 +95,27 @@ class Units:
 
     def bands(self, count: int) -> np.ndarray:
         """(paragraphs, bands): smallest shingle hash under each band's permutation."""
-        shingles, starts = self.shingles()
-        with np.errstate(over="ignore"):
-            found = [mix(np.minimum.reduceat(mix(shingles ^ (ODD * np.uint64(2 * j + 3))), starts) + np.uint64(j)) for j in range(count)] if len(starts) else []
-        return np.stack(found, axis=1).view(np.int64) if found else np.zeros((0, count), np.int64)
+        return least_hashes(*self.shingles(), range(count))
+
+
+def least_hashes(shingles: np.ndarray, starts: np.ndarray, permutations: range) -> np.ndarray:
+    """(sets, permutations): the smallest hash of each set of shingles, which begin at ``starts``."""
+    with np.errstate(over="ignore"):
+        found = [mix(np.minimum.reduceat(mix(shingles ^ (ODD * np.uint64(2 * j + 3))), starts) + np.uint64(j)) for j in permutations] if len(starts) else []
+    return np.stack(found, axis=1).view(np.int64) if found else np.zeros((0, len(permutations)), np.int64)
+
+
+def spread(bands: np.ndarray, rows: np.ndarray, sets: list[np.ndarray], crowded: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """``bands`` of ``rows``, each crowded one put in place by SECOND narrower ones; ``sets`` are the rows' shingles."""
+    full = np.isin(bands, crowded)
+    if not full.any():
+        return bands, rows
+    few = np.unique(rows[full])
+    each = [sets[r] for r in few.tolist()]
+    narrow = least_hashes(np.concatenate(each).view(np.uint64), np.cumsum([0, *map(len, each)])[:-1], range(first, first + SECOND))[np.searchsorted(few, rows[full])]
+    with np.errstate(over="ignore"):
+        made = mix(bands[full].view(np.uint64)[:, None] * ODD + narrow.view(np.uint64)).view(np.int64)
+    return np.concatenate([bands[~full], made.ravel()]), np.concatenate([rows[~full], np.repeat(rows[full], SECOND)])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +131,7 @@ def _banded(count: int, sent=None):
     """(band, unit), with the shingles if ``sent`` has the filter of colliding bands, and then only of those."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if sent is None else np.frombuffer(sent.value, np.uint8)
+        bits, crowded = (None, None) if sent is None else (np.frombuffer(sent.value[0], np.uint8), sent.value[1])
         for batch in text_chunks(batches, limit=HASH_BYTES):
             units = Units.of(batch.column("text"))
             bands, names = units.bands(count), units.names()
@@ -125,10 +146,11 @@ def _banded(count: int, sent=None):
             shingles, starts = units.shingles()
             ends = np.append(starts[1:], len(shingles))
             sets = {r: np.unique(shingles[starts[use[r]] : ends[use[r]]]).view(np.int64) for r in np.unique(row).tolist()}
+            met, row = spread(bands[row, col], row, sets, crowded, count)
             rows = [sets[r] for r in row.tolist()]
             offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(bands[row, col]), pa.array(names[row]), lists], ["band", "unit", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(names[row]), lists], ["band", "unit", "shingles"])
 
     return work
 
@@ -153,26 +175,34 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return parent
 
 
-#: Paragraphs of one band compared in one go; a band of more is compared part by part.
-BAND_PART = 2_000
+def similar_many(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """As ``similar``, for many sets: one after the other is held against all, but for those of the largest component so far.
+
+    In a group of near copies nearly all are in it after the first; where few are alike the band is a narrow one.
+    """
+    parent = np.arange(len(sets))
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, starts = np.concatenate(sets), np.cumsum(size) - size
+    done = np.zeros(len(sets), bool)
+    while True:
+        while (up := parent[parent]).tolist() != parent.tolist():
+            parent = up
+        largest = np.bincount(parent).argmax()
+        left = np.flatnonzero(~done & (parent != largest)) if done.any() else np.arange(len(sets))
+        if not len(left):
+            return parent
+        for i in left[: 1 if not done.any() else 64].tolist():
+            shared = np.add.reduceat(np.isin(flat, sets[i]).astype(np.int64), starts)
+            near = np.flatnonzero(shared >= similarity * (size + size[i] - shared) - 1e-9)
+            union(parent, np.full(len(near), i), near)
+            done[i] = True
 
 
 def _verify(similarity: float):
     def settle_band(units: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
-        parts = range(0, len(units), BAND_PART // 2)
-        for i in parts:
-            for j in parts if len(units) > BAND_PART else parts[:1]:
-                if j < i:
-                    continue
-                at = np.arange(len(units)) if len(units) <= BAND_PART else np.unique(np.r_[i : min(i + BAND_PART // 2, len(units)), j : min(j + BAND_PART // 2, len(units))])
-                root = similar([sets[x] for x in at], similarity)
-                moved = np.flatnonzero(root != np.arange(len(at)))
-                a.append(units[at[moved]])
-                b.append(units[at[root[moved]]])
-            if len(units) <= BAND_PART:
-                break
-        return np.concatenate(a), np.concatenate(b)
+        root = (similar if len(units) <= BAND_PART else similar_many)(sets, similarity)
+        moved = np.flatnonzero(root != np.arange(len(units)))
+        return units[moved], units[root[moved]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, units, sets = None, [], []
@@ -207,13 +237,15 @@ def near_units(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     spark = docs.sparkSession
     count = bands_for(similarity, recall)
     texts = docs.select("text")
-    met = texts.mapInArrow(_banded(count), "band long, unit long").groupBy("band").agg(F.min("unit").alias("a"), F.max("unit").alias("b"))
+    met = texts.mapInArrow(_banded(count), "band long, unit long").groupBy("band").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.count("*").alias("n"))
+    met = settle(met.where("a != b"), "bands")
     place = F.col("band").bitwiseAND(FILTER_BITS - 1)
-    word = met.where("a != b").select(F.shiftright(place, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(band & 63 AS int))").alias("bit"))
+    word = met.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(band & 63 AS int))").alias("bit"))
     filled = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS >> 6, np.int64)
     bits[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
-    sent = spark.sparkContext.broadcast(bits.tobytes())
+    crowded = met.where(F.col("n") > BAND_PART).orderBy(F.desc("n"), "band").limit(CROWDED).select("band").toArrow().column("band").to_numpy()
+    sent = spark.sparkContext.broadcast((bits.tobytes(), np.sort(crowded)))
     rows = texts.mapInArrow(_banded(count, sent), "band long, unit long, shingles array<long>")
     together = rows.repartition("band").sortWithinPartitions("band", "unit")
     return components(together.mapInArrow(_verify(similarity), "a long, b long"))

@@ -602,13 +602,38 @@ def test_paragraph_links_match_brute_force(spark):
     assert found <= linked and len(found) >= 0.97 * len(linked)
 
 
-def test_paragraph_parts_keep_links(monkeypatch):
+def test_many_paragraphs_are_linked_as_few_are():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 40, 12)
+    sets = [np.unique(np.r_[base[: rng.integers(8, 13)], rng.integers(0, 1 << 40, rng.integers(0, 6))]) for _ in range(400)]
+    few, many = paragraphs.similar(sets, 0.6), paragraphs.similar_many(sets, 0.6)
+    groups = lambda root: {frozenset(np.flatnonzero(root == r)) for r in set(root.tolist())}
+    assert groups(few) == groups(many)
+
+
+def test_paragraph_parts_keep_links():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 12)) for _ in range(80)]
     want = components_of(80, [(i, j) for i in range(80) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.3 * len(np.union1d(sets[i], sets[j]))])
     assert paragraphs.similar(sets, 0.3).tolist() == want
 
 
+def test_one_crowded_band(spark, monkeypatch):
+    """50,000 paragraphs that share a shingle with all others, and so a band; 300 near copies among them."""
+    monkeypatch.setattr(paragraphs, "BAND_PART", 200)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    top = max((f"top{i}" for i in range(200_000)), key=dict(zip((f"top{i}" for i in range(200_000)), hashed_words(pa.array([" ".join(f"top{i}" for i in range(200_000))])).hashes.tolist(), strict=True)).get)
+    lines = [f"{top} one two three four {word()} {word()}" for _ in range(50_000)]  # the word of the largest hash begins the paragraph
+    close = [" ".join([*x.split()[:-1], "end"]) for x in lines[:300]]
+    units = paragraphs.Units.of(pa.array([*lines, *close]))
+    assert len(units.begin) < 50_310
+    got = dict(rows(paragraphs.near_units(spark.createDataFrame([(x,) for x in [*lines, *close]], "text string"), similarity=0.5)))
+    names = units.names()[units.first == 0].tolist()
+    assert np.mean([a in got and got[a] == got.get(b) for a, b in zip(names[:300], names[50_000:], strict=True)]) >= 0.97
+    assert len(got) <= 600
+
+
 def test_paragraph_edges(spark, edges, empty):
     got = paragraphs.repeats(clashing(edges)).collect()
     assert {r.doc_id for r in got} == {None, 5, 6}
