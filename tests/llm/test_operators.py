@@ -622,7 +622,7 @@ def test_one_crowded_band(spark, monkeypatch):
     """50,000 paragraphs that share a shingle with all others, and so a band; 300 near copies among them."""
     monkeypatch.setattr(paragraphs, "BAND_PART", 200)
     rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(14))
     top = max((f"top{i}" for i in range(200_000)), key=dict(zip((f"top{i}" for i in range(200_000)), hashed_words(pa.array([" ".join(f"top{i}" for i in range(200_000))])).hashes.tolist(), strict=True)).get)
     lines = [f"{top} one two three four {word()} {word()}" for _ in range(50_000)]  # the word of the largest hash begins the paragraph
     close = [" ".join([*x.split()[:-1], "end"]) for x in lines[:300]]
