@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 # Sensitive patterns in their order, and what replaces them.
 PII_PATTERNS = [
     ("email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[이메일]"),
@@ -56,10 +58,8 @@ def pii_names(text: Column) -> Column:
 
 def pii_mask(text: Column, own: dict[str, str] | None = None) -> Column:
     """Replaces pattern after pattern; a pattern counts if it is in the original text. ``own``: other replacements by name."""
-    never = F.lit("(?!)")
-    return reduce(
-        lambda c, p: F.regexp_replace(c, F.when(text.rlike(p[1]), F.lit(p[1])).otherwise(never), F.lit((own or {}).get(p[0], p[2]))), PII_PATTERNS, text
-    )
+    masked = lambda c, p: let(c, lambda x: F.when(text.rlike(p[1]), F.regexp_replace(x, p[1], (own or {}).get(p[0], p[2]))).otherwise(x))
+    return reduce(masked, PII_PATTERNS, text)
 
 
 def strip_mentions(text: Column) -> Column:

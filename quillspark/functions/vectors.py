@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 
 def dot(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -20,7 +22,7 @@ def cosine(a: Column, b: Column, size: Column | None = None) -> Column:
 
 
 def unit(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / norm(v))
+    return let(norm(v), lambda size: F.transform(v, lambda x: x.cast("double") / size))
 
 
 def relevance(distance: Column) -> Column:

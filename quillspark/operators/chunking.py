@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULTS
+from ..functions.columns import let
 from ..functions.text import chunk_id, estimate_tokens, tokens
 
 # Separators, strongest first; the last one cuts between characters.
@@ -16,10 +17,9 @@ SEPARATORS = ["\n\n", "\n", "。", ".", "!", "?", "！", "？", ";", "；", ",",
 
 def word_windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
     """Windows of words that overlap; none for a text without words."""
-    words = tokens(text)
-    step = size - overlap
-    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " ")))
+    starts = lambda words: F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size - overlap))
+    cut = lambda words: F.transform(starts(words), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+    return let(tokens(text), lambda words: F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(cut(words)))
 
 
 def split_recursive(text: str | None, size: int, overlap: int, separators: list[str] = SEPARATORS) -> list[str]:

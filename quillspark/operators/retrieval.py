@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,36 +47,6 @@ def top_k(scored: DataFrame, k: int = DEFAULTS.top_k, threshold: float | None =
     return kept.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def _count(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
-
-
-def bm25(docs: DataFrame, terms: list[str], k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
-    """(id, score): only documents that hold a term. Words are counted per document, not spread into rows."""
-    words = docs.select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("w"))
-    counted = words.select("id", F.size("w").alias("dl"), *[_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    n = stats.first()  # one row
-    weights = [F.log(F.lit((n["n"] - n[f"df{i}"] + 0.5) / (n[f"df{i}"] + 0.5) + 1.0)) for i in range(len(terms))]
-    length = k1 * (1 - b + b * F.col("dl") / F.lit(n["avgdl"]))
-    score = reduce(lambda x, y: x + y, [w * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + length) for i, w in enumerate(weights)])
-    hit = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
-    return counted.where(hit).select("id", F.round(score, 6).alias("score"))
-
-
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    """The k best with their rank; the limit runs in the tasks first, so the rank is one over k rows."""
-    best = scored.orderBy(F.desc("score"), "id").limit(k)
-    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")).cast("long"))
-
-
-def reciprocal_rank_fusion(lists: list[DataFrame], k: int, constant: int = DEFAULTS.rrf_constant) -> DataFrame:
-    """Fuses ranked lists of bounded length by the sum of 1 / (constant + rank)."""
-    every = reduce(DataFrame.unionByName, [x.select("id", "rank") for x in lists])
-    fused = every.groupBy("id").agg(F.round(F.sum(1.0 / (F.lit(constant) + F.col("rank"))), 6).alias("score"))
-    return ranked(fused, k)
-
-
 def context_budget(results: DataFrame, max_tokens: int = DEFAULTS.context_tokens, chars_per_token: int = DEFAULTS.chars_per_token) -> DataFrame:
     """The best results (query_id, id, score, content, title) whose running cost stays in the budget.
 
@@ -111,3 +82,57 @@ def rag_prompts(questions: DataFrame, results: DataFrame) -> DataFrame:
 def parent_context(hits: DataFrame, parents: DataFrame) -> DataFrame:
     """Child hits with the text of their parents, null where there is none: one join instead of a look-up per hit."""
     return hits.join(parents.select(F.col("chunk_id").alias("parent_id"), F.col("text").alias("parent_text")), "parent_id", "left")
+
+
+# Prompts with nothing found, and the end of one that follows an answer; the reply where no answer came.
+NOTHING_FOUND = ("관련 문서를 찾을 수 없습니다.\n\n## 질문\n", "\n\n위 질문에 대해 관련 문서를 찾을 수 없다고 안내하고,\n질문을 다시 구체화하거나 다른 키워드로 질문해달라고 요청하세요.")
+FOLLOWUP = "\n\n이전 답변을 참고하여 후속 질문에 답변해주세요."
+NO_ANSWER = "관련 문서를 찾을 수 없습니다. 다른 키워드로 질문해 주세요."
+
+
+def no_context_prompt(question: Column) -> Column:
+    return F.concat(F.lit(NOTHING_FOUND[0]), question, F.lit(NOTHING_FOUND[1]))
+
+
+def followup_prompts(questions: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id, prompt) of (query_id, question, previous): the answer before, new documents in rank order, the question."""
+    part = F.concat(F.lit("### ["), F.col("rank"), F.lit("] "), F.col("title"), F.lit(" ("), source_label(F.col("source")), F.lit(")\n"), F.col("content"), F.lit("\n\n"))
+    parts = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))).alias("parts"))
+    documents = F.concat(F.lit("## 추가 참고 문서\n"), F.array_join(F.transform("parts", lambda x: x["part"]), ""))
+    joined = questions.join(parts, "query_id", "left")
+    return joined.select("query_id", F.concat(F.lit("## 이전 답변\n"), F.col("previous"), F.lit("\n\n"), F.coalesce(documents, F.lit("")), F.lit("## 후속 질문\n"), F.col("question"), F.lit(FOLLOWUP)).alias("prompt"))
+
+
+def answers(questions: DataFrame, results: DataFrame, answer: Callable[[Column, Column], Column], threshold: float = DEFAULTS.relevant, max_tokens: int = DEFAULTS.context_tokens) -> DataFrame:
+    """(query_id, n_documents, cited, answer): relevant results within the budget, the prompt, an answer, its sources.
+
+    ``answer`` makes a Column from the prompt and the results that it is of, an injected model; a blank one becomes the
+    fixed reply, as does a question for which nothing relevant was found. Results are a few rows per question.
+    """
+    kept = context_budget(results.where(F.col("score") >= threshold), max_tokens)
+    told = rag_prompts(questions, kept).join(kept.groupBy("query_id").agg(F.collect_list(F.struct("rank", "title", "source", "content")).alias("used"), F.array_sort(F.collect_set("source")).alias("cited")), "query_id", "left")
+    said = F.when(F.col("used").isNotNull(), F.nullif(F.trim(answer(F.col("prompt"), F.col("used"))), F.lit("")))
+    return told.select("query_id", F.size(F.coalesce("used", F.array())).cast("long").alias("n_documents"), "cited", F.coalesce(said, F.lit(NO_ANSWER)).alias("answer"))
+
+
+def search_terms(asked: DataFrame, docs: DataFrame, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
+    """(query_id, id, score): BM25 of every query (query_id, text) by its distinct words against all documents that hold one.
+
+    The words of documents are counted once and meet the queries' words in one join; document frequencies come from the
+    same counts. Spark broadcasts the queries' words only where they are few.
+    """
+    words = docs.select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+    terms = asked.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    counted = words.select("id", "dl", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    weighed = counted.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term")
+    n, df, tf = F.col("n"), F.col("df"), F.col("tf")
+    idf = F.log((n - df + 0.5) / (df + 0.5) + 1.0)
+    part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return counted.join(weighed, "term").join(F.broadcast(stats)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def fuse(lists: list[DataFrame], k: int, constant: int = DEFAULTS.rrf_constant) -> DataFrame:
+    """(query_id, id, score, rank): ranked lists of every query fused by the sum of 1 / (constant + rank)."""
+    every = reduce(DataFrame.unionByName, [x.select("query_id", "id", "rank") for x in lists])
+    return top_k(every.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (F.lit(constant) + F.col("rank"))), 6).alias("score")), k)

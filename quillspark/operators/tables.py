@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``new`` and the rows of ``old`` whose key it doesn't have; the snapshot goes to a folder of its own."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+    """``new`` and the rows of ``old`` whose key it doesn't have; the snapshot goes to a folder of its own.
+
+    Of rows of ``new`` that repeat a key the one of the smallest hash of all columns is written, so a rerun writes it too.
+    """
+    first = W.partitionBy(key).orderBy(F.xxhash64(*new.columns))
+    once = new.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return old.join(new.select(key), key, "left_anti").unionByName(once)
 
 
 def delete_ids(old: DataFrame, ids: DataFrame, key: str) -> DataFrame:

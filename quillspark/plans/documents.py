@@ -51,14 +51,14 @@ def child_parent_context(spark, sf_dir):
     return found.select("doc_id", "chunk_index", F.length("parent_text").cast("long").alias("parent_chars"))
 
 
-OLD = "(SELECT doc_id, sha256(coalesce(lang, '')) AS h FROM documents)"
-NEW = "(SELECT doc_id + 7 AS doc_id, sha256(coalesce(lang, '')) AS h FROM documents)"
+OLD = "(SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)"
+NEW = "(SELECT doc_id + 7 AS doc_id, sha256(coalesce(text, '')) AS h FROM documents)"
 DIFF = f"(SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'created' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.h <> n.h THEN 'updated' ELSE 'unchanged' END AS action FROM {OLD} o FULL JOIN {NEW} n ON o.doc_id = n.doc_id)"
 
 
 def snapshots(spark, sf_dir):
     """Two states of one source: the whole table, and the whole table under ids moved by seven, so that rows came, went, changed and stayed."""
-    digest = F.sha2(F.coalesce("lang", F.lit("")), 256).alias("content_hash")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")
     docs = _docs(spark, sf_dir)
     return docs.select("doc_id", digest), docs.select((F.col("doc_id") + 7).alias("doc_id"), digest)
 

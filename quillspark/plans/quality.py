@@ -52,7 +52,31 @@ def centroids(spark, sf_dir):
     return E.centroids(table(spark, sf_dir, "embeddings"), "label")
 
 
-@query("SELECT column_name, data_type FROM (VALUES ('doc_id', 'bigint'), ('text', 'string'), ('lang', 'string'), ('source', 'string'), ('n_chars', 'bigint')) t(column_name, data_type)")
+@query("SELECT column_name, CASE data_type WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS data_type FROM information_schema.columns WHERE table_name = 'documents'")
 def schema_catalog(spark, sf_dir):
     columns = table(spark, sf_dir, "documents").dtypes
     return spark.createDataFrame(columns, "column_name string, data_type string")
+
+
+BY_LANGUAGE = f"(SELECT b.*, d.lang, coalesce(s.n, 0) AS top_score, CASE WHEN a.n > 100 THEN 'many' ELSE 'few' END AS n_answers FROM {BY_QUERY} b LEFT JOIN documents d ON d.doc_id = b.query_id JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) a ON a.label = b.label LEFT JOIN (SELECT query_id, score AS n FROM (SELECT q.vec_id AS query_id, {COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id) WHERE rank = 1) s ON s.query_id = b.query_id)"
+
+
+def _by_language(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "lang")
+    counts = vectors.groupBy("label").agg(F.when(F.count("*") > 100, "many").otherwise("few").alias("n_answers"))
+    best = R.top_k(R.similarities(vectors.where("vec_id % 100 = 0"), vectors).where("id <> query_id"), 1).select("query_id", F.col("score").alias("top_score"))
+    return _by_query(spark, sf_dir).join(langs, "query_id", "left").join(counts, "label").join(best, "query_id", "left")
+
+
+@query(f"SELECT lang, label, n_answers, count(*) AS queries, round(avg(hit_5::INT), 6) AS hit_5, count(*) FILTER (NOT hit_5) AS failures FROM {BY_LANGUAGE} GROUP BY GROUPING SETS ((lang), (label), (n_answers), ())")
+def accuracy_by_groups(spark, sf_dir):
+    """By language, category and number of answers, with failures, in one pass."""
+    sets = _by_language(spark, sf_dir).groupingSets([["lang"], ["label"], ["n_answers"], []], "lang", "label", "n_answers")
+    return sets.agg(F.count("*").alias("queries"), _rate("hit_5"), F.count_if(~F.col("hit_5")).alias("failures"))
+
+
+@query(f"SELECT count(*) AS queries, round(avg(hit_5::INT), 6) AS accuracy, round(avg(top_score), 6) AS relevance, count(*) FILTER (top_score < 0.5) AS weak FROM {BY_LANGUAGE}")
+def validation_summary(spark, sf_dir):
+    found = _by_language(spark, sf_dir)
+    return found.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("hit_5").cast("int")), 6).alias("accuracy"), F.round(F.avg("top_score"), 6).alias("relevance"), F.count_if(F.col("top_score") < 0.5).alias("weak"))

@@ -38,9 +38,10 @@ def vector_threshold(spark, sf_dir):
     return R.top_k(_scored(spark, sf_dir), 10, threshold=0.3).select("query_id", "id", "score", "rank")
 
 
-@query(f"{SCORED} SELECT query_id, id, score FROM s WHERE score >= 0.7")
+@query(f"{SCORED} SELECT query_id, id, score FROM (SELECT *, {TOP} AS rank FROM s WHERE score >= 0.7) WHERE rank <= 50")
 def relevant_results(spark, sf_dir):
-    return _scored(spark, sf_dir).where(F.col("score") >= 0.7).select("query_id", "id", "score")
+    """The relevant ones among the 50 best of each query: what comes out doesn't grow with the square of the table."""
+    return R.top_k(_scored(spark, sf_dir), 50, threshold=0.7).select("query_id", "id", "score")
 
 
 @query(f"{SCORED}, d AS (SELECT query_id, id, round(1 - score, 6) AS distance FROM s) SELECT query_id, id, distance, round(greatest(0, 1 - distance), 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM d) WHERE r <= 5")
@@ -72,26 +73,29 @@ def vector_unit(spark, sf_dir):
     return u.select("vec_id", F.round(V.dot(F.col("u"), F.col("u")), 6).alias("squared"))
 
 
-TERMS = ["the", "that", "with"]
 WORDS = r"list_filter(string_split_regex(lower(text), '[ \t\n\r]+'), lambda t: t <> '')"
-BM25 = f"""WITH w AS (SELECT doc_id AS id, len({WORDS}) AS dl, {WORDS} AS t FROM documents),
- c AS (SELECT id, dl, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'that')) AS b, len(list_filter(t, lambda x: x = 'with')) AS c FROM w),
- g AS (SELECT count(*) AS n, avg(dl) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (c > 0) AS dc FROM c),
- l AS (SELECT id, round(ln((n - da + 0.5) / (da + 0.5) + 1) * a * 2.5 / (a + 1.5 * (0.25 + 0.75 * dl / m)) + ln((n - db + 0.5) / (db + 0.5) + 1) * b * 2.5 / (b + 1.5 * (0.25 + 0.75 * dl / m))
-  + ln((n - dc + 0.5) / (dc + 0.5) + 1) * c.c * 2.5 / (c.c + 1.5 * (0.25 + 0.75 * dl / m)), 6) AS score FROM c, g WHERE a > 0 OR b > 0 OR c.c > 0)"""
+BM25 = f"""WITH w AS (SELECT doc_id AS id, len({WORDS}) AS dl, {WORDS} AS t FROM documents), g AS (SELECT count(*) AS n, avg(dl) AS m FROM w),
+ p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, dl, unnest(t) AS term FROM w) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+ q AS (SELECT DISTINCT doc_id AS query_id, unnest({WORDS}) AS term FROM documents WHERE doc_id % 100 = 0),
+ l AS (SELECT query_id, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / m))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), g GROUP BY query_id, id),
+ lr AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM l QUALIFY rank <= 10)"""
 
 
-@query(f"{BM25} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM l QUALIFY rank <= 10")
+def _lexical(spark, sf_dir):
+    """The texts of all documents whose id is divisible by 100 as queries against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return R.top_k(R.search_terms(asked, docs), 10)
+
+
+@query(f"{BM25} SELECT query_id, id, score, rank FROM lr")
 def bm25_topk(spark, sf_dir):
-    return R.ranked(R.bm25(table(spark, sf_dir, "documents"), TERMS), 10)
+    return _lexical(spark, sf_dir).select("query_id", "id", "score", "rank")
 
 
-@query(f"{BM25}, v AS (SELECT e.vec_id AS id, {COS} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q), u AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM l QUALIFY r <= 10 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM v QUALIFY r <= 10), f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM u GROUP BY id) SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 10")
+@query(f"{BM25}, v AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q), u AS (SELECT query_id, id, rank FROM lr UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM v QUALIFY r <= 10), x AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM u GROUP BY query_id, id) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x QUALIFY rank <= 10")
 def rrf_hybrid(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    lexical = R.ranked(R.bm25(table(spark, sf_dir, "documents"), TERMS), 10)
-    vector = R.ranked(R.similarities(vectors.where("vec_id = 0"), vectors).select("id", "score"), 10)
-    return R.reciprocal_rank_fusion([lexical, vector], 10)
+    return R.fuse([_lexical(spark, sf_dir), R.top_k(_scored(spark, sf_dir), 10)], 10).select("query_id", "id", "score", "rank")
 
 
 HITS = f"{SCORED}, h AS (SELECT s.query_id, s.id, s.score, {TOP} AS rank, d.text AS content, 'Document ' || d.doc_id AS title, d.source FROM s JOIN documents d ON d.doc_id = s.id), t AS (SELECT * FROM h WHERE rank <= 10)"

@@ -29,3 +29,41 @@ def endpoints(specs: DataFrame, text: str = "value") -> DataFrame:
         F.coalesce("o.summary", F.lit("")).alias("summary"), F.coalesce("o.tags", F.array()).alias("tags"), F.size(F.coalesce("o.parameters", F.array())).cast("long").alias("n_parameters"),
         F.array_sort(F.map_keys(F.coalesce("o.responses", F.create_map().cast("map<string,struct<description:string>>")))).alias("statuses"), F.coalesce("o.deprecated", F.lit(False)).alias("deprecated"), url_join(F.col("base_url"), F.col("path")).alias("url"),
     )
+
+
+def resolve(ref: Column, spec: Column) -> Column:
+    """The JSON of what a reference into its own document names; an object without fields where it names nothing or another document."""
+    parts = F.transform(F.split(F.substr(ref, F.lit(3)), "/"), lambda p: F.concat(F.lit("['"), F.replace(F.replace(p, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")), F.lit("']")))
+    found = F.call_function("get_json_object", spec, F.concat(F.lit("$"), F.array_join(parts, "")))
+    return F.when(ref.startswith("#/"), F.coalesce(found, F.lit("{}"))).otherwise(F.lit("{}"))
+
+
+def title(method: Column, path: Column, summary: Column) -> Column:
+    return F.concat(F.lit("["), method, F.lit("] "), path, F.when(F.coalesce(summary, F.lit("")) != "", F.concat(F.lit(" - "), summary)).otherwise(""))
+
+
+def markdown(api: Column, method: Column, path: Column, operation: Column) -> Column:
+    """An endpoint as Markdown: what is there of its API, summary, description, tags, warning, parameters and responses."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    parameter = lambda p: F.concat_ws("\n", F.concat(F.lit("- **"), p["name"], F.lit("** ("), p["in"], F.lit(", "), F.coalesce(p["schema"]["type"], p["type"], F.lit("string")), F.lit(")"), F.when(p["required"], " (required)").otherwise("")), F.concat(F.lit("  - "), some(p["description"])))
+    listed = lambda heading, rows: F.when(F.size(rows) > 0, F.concat(F.lit(f"\n## {heading}\n\n"), F.array_join(rows, "\n")))
+    response = lambda e: F.concat(F.lit("- **"), e["key"], F.lit("**: "), F.coalesce(e["value"]["description"], F.lit("")))
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("# "), method, F.lit(" "), path, F.lit("\n")),
+        F.concat(F.lit("**API**: "), some(api)),
+        F.concat(F.lit("**Summary**: "), some(operation["summary"])),
+        F.concat(F.lit("\n"), some(operation["description"])),
+        F.when(F.size(operation["tags"]) > 0, F.concat(F.lit("\n**Tags**: "), F.array_join(operation["tags"], ", "))),
+        F.when(operation["deprecated"], "\n⚠️ **DEPRECATED**: 이 엔드포인트는 더 이상 사용되지 않습니다."),
+        listed("Parameters", F.transform(operation["parameters"], parameter)),
+        listed("Responses", F.transform(F.array_sort(F.map_entries(operation["responses"])), response)),
+    )
+
+
+def documents_of(specs: DataFrame, text: str = "value") -> DataFrame:
+    """(external_id, title, content) of every endpoint of JSON documents."""
+    spec = specs.select(F.from_json(text, f"info struct<title:string>, {SPEC}").alias("s")).select("s.*")
+    each = spec.select("info", F.explode("paths").alias("path", "verbs")).select("info", "path", F.explode("verbs").alias("verb", "o")).where(F.lower("verb").isin(VERBS))
+    method = F.upper("verb")
+    return each.select(F.concat(method, F.lit(":"), F.col("path")).alias("external_id"), title(method, F.col("path"), F.col("o.summary")).alias("title"), markdown(F.col("info.title"), method, F.col("path"), F.col("o")).alias("content"))
