@@ -27,9 +27,9 @@ def rel_top_customers(spark, sf_dir):
     return total.orderBy(F.desc("total"), "o_custkey").limit(10)
 
 
-@query("SELECT c_custkey, round(avg(o_totalprice), 4)::DOUBLE AS mean FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query("SELECT c_custkey, round(avg(o_totalprice::DECIMAL(18, 2)), 4)::DOUBLE AS mean FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def rel_left_join_avg(spark, sf_dir):
-    mean = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.avg("o_totalprice"), 4).cast("double").alias("mean"))
+    mean = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.avg(F.col("o_totalprice").cast("decimal(18,2)")), 4).cast("double").alias("mean"))
     customers = table(spark, sf_dir, "customer").select("c_custkey")
     return customers.join(mean, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "mean")
 
