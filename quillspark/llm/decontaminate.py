@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Settled
 from .words import as_strings, text_chunks
 
 WINDOW = 10
@@ -106,23 +107,38 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, limit:
         yield Automaton.of([(r["item"], r["text"]) for r in block.toLocalIterator()], width)
 
 
+#: What a scan adds, under names of its own.
+N_WORDS, RANGES, ITEMS, SPANS = (f"__qs_{x}" for x in ("n_words", "ranges", "items", "spans"))
+PAIRS = "array<struct<start:int,end:int>>"
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, doc_text: str, item_id: str, item_text: str, limit: int) -> DataFrame:
+    """``docs`` with the four columns. Each automaton has a pass of its own over the documents, whose result is written."""
+    spark = docs.sparkSession
+    none = {N_WORDS: F.lit(0).cast("long"), RANGES: F.lit(None).cast(PAIRS), ITEMS: F.lit(None).cast("array<string>"), SPANS: F.lit(None).cast(PAIRS)}
+    base, before = docs.withColumns(none), None
+    for automaton in _blocks(benchmark, item_id, item_text, width, limit):
+        if before is not None:  # so that a task holds one automaton, however many there are
+            settled = Settled(base, "scanned")
+            before.unpersist()
+            base = settled.df
+        before = spark.sparkContext.broadcast(automaton)
+        base = base.mapInArrow(_scanner(before, doc_text), base.schema)
+    return base
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
     """``docs`` with n_words, ranges (hit words), items and spans (offsets in the original text).
 
     A window is ``width`` consecutive words of an item, all of them if it has fewer, none if it has none; a word of a
-    document inside any occurrence of a window is hit. The automaton is sent to the tasks only up to ``limit`` bytes
-    of benchmark text; a larger benchmark is dealt into blocks whose automata scan one after the other in the same
-    pass over the documents, without a shuffle. Null texts have no words; an item with a null id hits but is not
-    named; repeated items count once. An empty table on either side gives no hits. Columns of ``docs`` whose names
-    clash with the new ones are replaced.
+    document inside any occurrence of a window is hit. One automaton holds up to ``limit`` bytes of benchmark text and
+    is sent to the tasks; a larger benchmark is dealt into blocks, each scanned in a pass of its own, so that neither a
+    task nor a broadcast grows with it. Null texts have no words; an item with a null id hits but is not named;
+    repeated items count once. An empty table on either side gives no hits. Columns of ``docs`` whose names clash with
+    the new ones are replaced.
     """
-    added = ["n_words", "ranges", "items", "spans"]
-    out = docs.drop(*added)
-    kept = out.columns
-    base = out.withColumns({"n_words": F.lit(0).cast("long"), "ranges": F.lit(None).cast("array<struct<start:int,end:int>>"), "items": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast("array<struct<start:int,end:int>>")})
-    for automaton in _blocks(benchmark, item_id, item_text, width, limit):
-        base = base.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(automaton), doc_text), base.schema)
-    return base.select(*kept, *added)
+    names = {N_WORDS: "n_words", RANGES: "ranges", ITEMS: "items", SPANS: "spans"}
+    return _scanned(docs.drop(*names.values()), benchmark, width, doc_text, item_id, item_text, limit).withColumnsRenamed(names)
 
 
 def _scanner(sent, doc_text: str):
@@ -131,7 +147,7 @@ def _scanner(sent, doc_text: str):
         for batch in text_chunks(batches, doc_text):
             names = batch.schema.names
             n_words, ranges, items, spans = [], [], [], []
-            before = zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True)
+            before = zip(batch.column(RANGES).to_pylist(), batch.column(ITEMS).to_pylist(), strict=True)
             for text, (old, named) in zip(as_strings(batch.column(doc_text)).to_pylist(), before, strict=True):
                 words = normal_words(text)
                 hit, found = automaton.scan(words)
@@ -140,7 +156,7 @@ def _scanner(sent, doc_text: str):
                 ranges.append([{"start": a, "end": b} for a, b in hit])
                 items.append(sorted(found.union(named or [])))
                 spans.append([{"start": a, "end": b} for a, b in char_spans(text, hit)])
-            new = {"n_words": n_words, "ranges": ranges, "items": items, "spans": spans}
+            new = {N_WORDS: n_words, RANGES: ranges, ITEMS: items, SPANS: spans}
             columns = [pa.array(new[n], batch.schema.field(n).type) if n in new else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
@@ -157,10 +173,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark."""
-    return scan(docs, benchmark, **options).where(F.size("ranges") == 0).select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark, with all their columns as they are.
 
+    Null and empty texts hold none and stay; rows that repeat stay or go together; an empty benchmark removes nothing.
+    """
+    return _scanned(docs, benchmark, width, doc_text, item_id, item_text, limit).where(F.size(RANGES) == 0).select(*docs.columns)
 
 
 CONTAMINATION_SQL = r"""
