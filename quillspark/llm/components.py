@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 from .scratch import Settled
 
 
+#: Parts into which a node's neighbours are dealt when they learn its smallest one, so that a hub isn't one task.
+PARTS = 8
+
+
+def _told(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with m, the smallest node around u."""
+    part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    return dealt.join(least.select("u", "m", part), ["u", "part"]).drop("part")
+
+
 def _round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step; edges (u > v). Neighbourhoods are only ever reduced to their minimum."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    large = _told(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+    small = _told(large, least).where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
