@@ -73,9 +73,11 @@ def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
     ``messages`` has tree, node, parent (long), role, text and score. A branch scores the sum of its messages' scores
     (null: 0); a tree's branches rank by score, then by leaf, and the ``best`` ones are formatted (None: all). Null
     roles and texts are empty. loss_spans are the offsets, in characters of ``formatted``, of the escaped assistant
-    texts. Of rows that repeat (tree, node) one counts. An empty table gives an empty result.
+    texts. Of rows that repeat (tree, node) the least by parent, role,
+    text and score counts. An empty table gives an empty result.
     """
-    once = messages.dropDuplicates(["tree", "node"])
+    fields = ["parent", "role", "text", "score"]
+    once = messages.groupBy("tree", "node").agg(F.min(F.struct(*fields)).alias("m")).select("tree", "node", *[f"m.{c}" for c in fields])
     walked = paths(once.select("tree", "node", "parent"))
     scored = walked.join(once.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
     ranked = scored.withColumn("branch_rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
