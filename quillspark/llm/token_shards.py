@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -202,10 +203,23 @@ class TableReader:
 TAIL = r"^(?P<head>.*[A-Za-z0-9])(?P<tail>[!#$%&()*+,./:;=?@^_~-]+)$"
 
 
+# The rules under which words may be encoded apart, whatever their case and the punctuation at their end.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def encodes_by_word(rules: dict) -> bool:
+    """Whether a tokenizer's file has those rules: white space is dropped and nothing joins across it, case doesn't count."""
+    before, cuts = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    marks = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in rules.get("added_tokens", []))
+    return before.get("normalizers") == NORMALIZERS and cuts.get("pretokenizers", [None])[0] == SPLIT and rules.get("post_processor") is None and marks
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never joins across it, so each distinct word is encoded once.
+    """Ids of whole texts. Where the tokenizer's rules allow it each distinct word is encoded once.
 
-    So do ASCII words that differ in case only, which it lower-cases, and the punctuation at their end.
+    Then ASCII words that differ in case only count as one, and so does the punctuation at their end. Under any other
+    rules whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -213,6 +227,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._by_word = encodes_by_word(json.loads(self._tokenizer.to_str()))
         self._forget()
 
     def _forget(self) -> None:
@@ -240,6 +255,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin (one more than texts)."""
+        if not self._by_word:
+            found = [x.ids for x in self._tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.cumsum([0, *map(len, found)])
         bag = bag_of_words(texts)
         if len(self._known) > CACHE_WORDS:
             self._forget()

@@ -476,6 +476,17 @@ def test_token_shards_round_trip(spark, shard_ids):
         assert len(reader.get(r.doc_id)) >= 1 and reader.get(-5) is None
 
 
+def test_encoder_under_other_rules():
+    """A tokenizer that keeps case and blanks gets whole texts; one of the known rules gives the same ids word by word."""
+    texts = ["One  two,\n Three's <|endoftext|> ÉÀ x2", "", "a", " b B. (c) DON'T", "\u0130 e\u0301 \u2003z"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = token_shards.Encoder(queries.tokenizer_path(name))
+        assert encoder._by_word == (name == "word_bpe_49k.json")
+        ids, ends = encoder.encode(pa.array(texts, pa.large_string()))
+        want = [encoder._tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+
+
 def test_token_shards_edges(spark, edges, empty):
     folder, manifest = token_shards.write_shards(edges, queries.tokenizer_path())
     got = token_shards.read_shards(folder, manifest).orderBy("start").collect()
