@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,3 +127,13 @@ def tokens(text: Column) -> Column:
 def retryable(status: Column, code: Column) -> Column:
     """Whether a failed call may be tried again: too many requests, server errors, and codes that say so."""
     return F.coalesce((status == 429) | (status >= 500) | code.isin("rate_limited", "internal_server_error", "service_unavailable"), F.lit(False))
+
+
+def nfc(text: Column) -> Column:
+    """Composed characters (NFC), for which Spark has no function; ASCII texts are passed through by the JVM."""
+
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFC")
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), composed(text)).otherwise(text)

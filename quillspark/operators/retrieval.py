@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,7 @@ def similarities(queries: DataFrame, corpus: DataFrame, id_col: str = "vec_id",
     blocks_needed = max(1, -(-queries.count() // BLOCK))
     vector = F.col(vec_col).cast("array<double>")
     asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), vector.alias("v"), V.norm(F.col(vec_col)).alias("size"))
-    dealt = asked.withColumn("nth", F.monotonically_increasing_id() % blocks_needed)  # evenly, repeated ids too
+    dealt = asked.withColumn("nth", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks_needed)))  # alike when a task runs again
     blocks = dealt.groupBy("nth").agg(F.collect_list(F.struct("query_id", "v", "size")).alias("block")).select("block")
     rows = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vector.alias("vec"), V.norm(F.col(vec_col)).alias("size"))
     pairs = rows.crossJoin(blocks).select("id", "vec", "size", F.explode("block").alias("q"))
@@ -136,3 +137,24 @@ def fuse(lists: list[DataFrame], k: int, constant: int = DEFAULTS.rrf_constant)
     """(query_id, id, score, rank): ranked lists of every query fused by the sum of 1 / (constant + rank)."""
     every = reduce(DataFrame.unionByName, [x.select("query_id", "id", "rank") for x in lists])
     return top_k(every.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (F.lit(constant) + F.col("rank"))), 6).alias("score")), k)
+
+
+@dataclass(frozen=True)
+class SearchFilter:
+    """Equalities that a search may ask for; an empty one is none."""
+
+    source_id: str | None = None
+    source_type: str | None = None
+    language: str | None = None
+    content_type: str | None = None
+    http_method: str | None = None
+    chunk_type: str | None = None
+
+
+def search(queries: DataFrame, corpus: DataFrame, wanted: SearchFilter | None = None, limit: int = DEFAULTS.top_k, threshold: float = 0.0) -> DataFrame:
+    """The ``limit`` best of each query of at least ``threshold``, among the rows that fit the filter."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be between 1 and 100")
+    if not 0.0 <= threshold <= 1.0:
+        raise ValueError("threshold must be between 0 and 1")
+    return top_k(similarities(queries, where_equal(corpus, asdict(wanted or SearchFilter()))), limit, threshold)

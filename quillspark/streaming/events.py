@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULTS
+from ..operators.tables import last_write
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -48,3 +50,27 @@ def conversation_state(messages: DataFrame, keep: int = DEFAULTS.history, ttl_ms
 
     grouped = messages.groupBy("thread")
     return grouped.applyInPandasWithState(update, "thread string, role string, text string, at timestamp", "held array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def upsert_stream(events: DataFrame, folder: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
+    """Works off what there is and stops: each micro-batch is merged into the newest snapshot of ``folder``, the last write of a key wins.
+
+    A snapshot has a folder named by its batch, so a batch that runs again writes the same one; readers take the newest.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        last = last_write(batch, key, [F.desc(c) for c in order])
+        before = newest_snapshot(batch.sparkSession, folder, batch_id)
+        rows = last if before is None else last_write(before.unionByName(last), key, [F.desc(c) for c in order])
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id:08d}")
+
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The newest finished snapshot, of a batch under ``before`` if that is given; None if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    done = sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+    done = [b for b in done if before is None or b < before]
+    return spark.read.parquet(f"{folder}/batch={done[-1]:08d}") if done else None
