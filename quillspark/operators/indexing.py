@@ -20,12 +20,12 @@ def changes(indexed: DataFrame, documents: DataFrame) -> DataFrame:
 def refresh(chunks: DataFrame, indexed: DataFrame, documents: DataFrame, parts: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """(chunks, changes) after a synchronisation.
 
-    Only created and updated documents are cut and enter the shuffle with their texts; chunks of updated and deleted
-    ones go; those of unchanged ones stay as they are. One plan for all documents, no call per document.
+    Only created and updated documents are cut and enter the shuffle with their texts; chunks of unchanged
+    ones stay as they are, all others go. One plan for all documents, no call per document.
     """
     found = changes(indexed, documents)
     todo = found.where("action in ('created', 'updated')").select("doc_id")
-    gone = found.where("action in ('updated', 'deleted')").select("doc_id")
+    gone = found.where("action != 'unchanged'").select("doc_id")  # new ones too: a run before may have been cut off
     made = chunking.chunk_documents(documents.join(todo, "doc_id", "left_semi"), parts(F.col("text")))
     return chunks.join(gone, "doc_id", "left_anti").unionByName(made.select(chunks.columns)), found
 

@@ -67,10 +67,15 @@ def upsert_stream(events: DataFrame, folder: str, checkpoint: str, key: str, ord
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest finished snapshot, of a batch under ``before`` if that is given; None if there is none."""
+def newest_number(spark: SparkSession, folder: str, before: int | None = None) -> int:
+    """The number of the newest finished snapshot, of one under ``before`` if that is given; -1 if there is none."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/_SUCCESS")
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    done = sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
-    done = [b for b in done if before is None or b < before]
-    return spark.read.parquet(f"{folder}/batch={done[-1]:08d}") if done else None
+    done = [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
+    return max((b for b in done if before is None or b < before), default=-1)
+
+
+def newest_snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The newest finished snapshot, of a batch under ``before`` if that is given; None if there is none."""
+    number = newest_number(spark, folder, before)
+    return spark.read.parquet(f"{folder}/batch={number:08d}") if number >= 0 else None
