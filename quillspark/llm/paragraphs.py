@@ -175,24 +175,28 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return parent
 
 
-def similar_many(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+def similar_many(sets: list[np.ndarray], similarity: float, groups: np.ndarray | None = None) -> np.ndarray:
     """As ``similar``, for many sets: one after the other is held against all, but for those of the largest component so far.
 
-    In a group of near copies nearly all are in it after the first; where few are alike the band is a narrow one.
+    In a group of near copies nearly all are in it after the first; where few are alike the band is a narrow one. Sets of
+    equal ``groups`` are in one component to begin with.
     """
-    parent = np.arange(len(sets))
+    parent = np.arange(len(sets)) if groups is None else np.unique(groups, return_index=True)[1][np.unique(groups, return_inverse=True)[1]]
     size = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat, starts = np.concatenate(sets), np.cumsum(size) - size
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    values, owner = flat[order], np.repeat(np.arange(len(sets)), size)[order]
     done = np.zeros(len(sets), bool)
     while True:
         while (up := parent[parent]).tolist() != parent.tolist():
             parent = up
-        largest = np.bincount(parent).argmax()
-        left = np.flatnonzero(~done & (parent != largest)) if done.any() else np.arange(len(sets))
+        known = done.any() or groups is not None
+        left = np.flatnonzero(~done & (parent != np.bincount(parent).argmax())) if known else np.arange(len(sets))
         if not len(left):
             return parent
-        for i in left[: 1 if not done.any() else 64].tolist():
-            shared = np.add.reduceat(np.isin(flat, sets[i]).astype(np.int64), starts)
+        for i in left[: 64 if known else 1].tolist():
+            low, high = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], side="right")
+            shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]), minlength=len(sets))
             near = np.flatnonzero(shared >= similarity * (size + size[i] - shared) - 1e-9)
             union(parent, np.full(len(near), i), near)
             done[i] = True
