@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cotraining, decontaminate, licenses, mixing, paragraphs, prefix_forest, pseudo_likelihood, simhash, token_shards
+from . import chat, cotraining, decontaminate, licenses, merkle, mixing, paragraphs, prefix_forest, pseudo_likelihood, simhash, token_shards
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -66,10 +66,15 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(_table(spark, sf_dir, "documents")).drop("th")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents by language, each proof folded from the row or its tampered form."""
+    return merkle.verified(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_cotraining, op2_prefix_forest, op3_chat_trees, op4_pseudo_likelihood, op5_decontamination, op6_licenses, op7_simhash_bktree, op8_token_shards, op9_mixing, op10_paragraph_dedup)
+    every = (op1_quality_cotraining, op2_prefix_forest, op3_chat_trees, op4_pseudo_likelihood, op5_decontamination, op6_licenses, op7_simhash_bktree, op8_token_shards, op9_mixing, op10_paragraph_dedup, op13_merkle_manifest)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_trees": chat.CHAT_SQL, "op5_decontamination": decontaminate.CONTAMINATION_SQL, "op9_mixing": mixing.MIX_SQL}
+    return {"op3_chat_trees": chat.CHAT_SQL, "op5_decontamination": decontaminate.CONTAMINATION_SQL, "op9_mixing": mixing.MIX_SQL, "op13_merkle_manifest": merkle.MANIFEST_SQL}
