@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cotraining, decontaminate, lexical, licenses, merkle, mixing, paragraphs, prefix_forest, pseudo_likelihood, simhash, token_shards
+from . import chat, cotraining, decontaminate, lexical, licenses, merkle, mixing, paragraphs, prefix_forest, pseudo_likelihood, secret_ledger, simhash, token_shards
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -66,6 +66,11 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(_table(spark, sf_dir, "documents")).drop("th")
 
 
+def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the secret scan, with a ledger begun for it, finds in each document."""
+    return secret_ledger.report(_table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of all documents for each benchmark item."""
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -77,9 +82,9 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_cotraining, op2_prefix_forest, op3_chat_trees, op4_pseudo_likelihood, op5_decontamination, op6_licenses, op7_simhash_bktree, op8_token_shards, op9_mixing, op10_paragraph_dedup, op12_lexical_search, op13_merkle_manifest)
+    every = (op1_quality_cotraining, op2_prefix_forest, op3_chat_trees, op4_pseudo_likelihood, op5_decontamination, op6_licenses, op7_simhash_bktree, op8_token_shards, op9_mixing, op10_paragraph_dedup, op11_secret_ledger, op12_lexical_search, op13_merkle_manifest)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_trees": chat.CHAT_SQL, "op5_decontamination": decontaminate.CONTAMINATION_SQL, "op9_mixing": mixing.MIX_SQL, "op12_lexical_search": lexical.SEARCH_SQL, "op13_merkle_manifest": merkle.MANIFEST_SQL}
+    return {"op3_chat_trees": chat.CHAT_SQL, "op5_decontamination": decontaminate.CONTAMINATION_SQL, "op9_mixing": mixing.MIX_SQL, "op11_secret_ledger": secret_ledger.REPORT_SQL, "op12_lexical_search": lexical.SEARCH_SQL, "op13_merkle_manifest": merkle.MANIFEST_SQL}
