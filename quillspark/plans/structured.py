@@ -29,7 +29,7 @@ def openapi_endpoints(spark, sf_dir):
 @query(f"""SELECT concat('GET:', {PATH}) AS external_id, concat('[GET] ', {PATH}, ' - ', n_name) AS title, concat('# GET ', {PATH}, chr(10), chr(10), '**API**: Cargo ', n_nationkey, chr(10), '**Summary**: ', n_name, chr(10), chr(10), '**Tags**: cargo, n', n_nationkey, chr(10), chr(10), '## Parameters', chr(10), chr(10), '- **deck** (query, integer) (required)', chr(10), '  - Level', chr(10), chr(10), '## Responses', chr(10), chr(10), '- **200**: here', chr(10), '- **404**: lost') AS content FROM nation
  UNION ALL SELECT concat('PUT:', {PATH}), concat('[PUT] ', {PATH}), concat('# PUT ', {PATH}, chr(10), chr(10), '**API**: Cargo ', n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN concat(chr(10), chr(10), '⚠️ **DEPRECATED**: 이 엔드포인트는 더 이상 사용되지 않습니다.') ELSE '' END) FROM nation""")
 def openapi_documents(spark, sf_dir):
-    return O.documents_of(_specs(spark, sf_dir))
+    return O.documents_of(_specs(spark, sf_dir)).drop("metadata")
 
 
 REFS = ["#/components/schemas/Crate", "#/components/schemas/a~1b", "#/components/schemas/Lost", "other.json#/components/schemas/Crate"]
@@ -39,3 +39,20 @@ REFS = ["#/components/schemas/Crate", "#/components/schemas/a~1b", "#/components
 def openapi_refs(spark, sf_dir):
     each = _specs(spark, sf_dir).select("n_nationkey", "value", F.explode(F.array(*map(F.lit, REFS))).alias("ref"))
     return each.select("n_nationkey", "ref", F.get_json_object(O.resolve(F.col("ref"), F.col("value")), "$.title").alias("title"))
+
+
+#: Operations that name their parameters, bodies and answers: directly, through another reference, in a circle, and in vain.
+LINKED = """concat('{"openapi":"3.1.0","info":{"title":"Port ', n_nationkey, '"},"servers":[{"url":"https://port.example"}],"paths":{"/berths/', n_nationkey, '":{"post":{"operationId":"berth","tags":["port"],"parameters":[{"$ref":"#/components/parameters/Lane"},{"$ref":"#/components/parameters/Again"},{"name":"kind","in":"header","schema":{}},{"$ref":"#/components/parameters/Round"},{"$ref":"other.json#/x"}],"requestBody":',
+ CASE n_nationkey % 4 WHEN 0 THEN '{"$ref":"#/components/requestBodies/Ship"}' WHEN 1 THEN '{"required":true,"content":{"text/plain":{},"application/json":{"schema":{"type":"object"}}}}' WHEN 2 THEN '{"$ref":"#/components/requestBodies/Lost"}' ELSE '{}' END,
+ ',"responses":{"201":{"$ref":"#/components/responses/Made"},"404":{"description":"no berth ', n_nationkey, '"}}}}},"components":{"parameters":{"Lane":{"name":"lane","in":"path","required":true,"description":"Lane ', n_regionkey, '","schema":{"type":"integer"}},"Again":{"$ref":"#/components/parameters/Twice"},"Twice":{"$ref":"#/components/parameters/Lane"},"Round":{"$ref":"#/components/parameters/Trip"},"Trip":{"$ref":"#/components/parameters/Round"}},',
+ '"requestBodies":{"Ship":{"description":"Ship of ', n_name, '","content":{"application/json":{},"application/xml":{}}}},"responses":{"Made":{"$ref":"#/components/responses/Done"},"Done":{"description":"berthed"}}}}')"""
+LANE = "'- **lane** (path, integer) (required)', chr(10), '  - Lane ', n_regionkey, chr(10)"
+
+
+@query(f"""SELECT concat('POST:/berths/', n_nationkey) AS external_id, 'berth' AS operation_id, concat('# POST /berths/', n_nationkey, chr(10), chr(10), '**API**: Port ', n_nationkey, chr(10), chr(10), '**Tags**: port', chr(10), chr(10), '## Parameters', chr(10), chr(10), {LANE}, {LANE}, '- **kind** (header, object)', chr(10), '- **** (, string)', chr(10), '- **** (, string)', chr(10), chr(10),
+ CASE n_nationkey % 4 WHEN 0 THEN concat('## Request Body', chr(10), 'Ship of ', n_name, chr(10), '**Content-Type**: application/json, application/xml', chr(10), chr(10)) WHEN 1 THEN concat('## Request Body', chr(10), '**Content-Type**: text/plain, application/json', chr(10), chr(10)) WHEN 2 THEN concat('## Request Body', chr(10), chr(10)) ELSE '' END,
+ '## Responses', chr(10), chr(10), '- **201**: berthed', chr(10), '- **404**: no berth ', n_nationkey) AS content FROM nation""")
+def openapi_linked_documents(spark, sf_dir):
+    """Endpoints whose parts are references, followed to their ends."""
+    specs = table(spark, sf_dir, "nation").select(F.expr(LINKED).alias("value"))
+    return O.documents_of(specs).select("external_id", F.col("metadata.operation_id").alias("operation_id"), "content")

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import sql_problem
+from ..operators.statements import problem
 
 POINTS = "id string, embedding array<float>, payload map<string,string>"
 
@@ -75,10 +75,9 @@ def csv_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def select_only(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
-    """Runs a SELECT with named parameters; any other statement is refused before it is planned."""
-    problem = spark.range(1).select(sql_problem(F.lit(sql))).first()[0]
-    if problem:
-        raise ValueError(problem)
+    """Runs a query with named parameters; any other statement is refused before it is planned."""
+    if why := problem(spark, sql):
+        raise ValueError(why)
     return spark.sql(sql, args or {})
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Image types that a model takes, by the end of a file's name.
 IMAGE_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp"}
@@ -23,9 +27,24 @@ def images(spark: SparkSession, folder: str, max_bytes: int) -> DataFrame:
 
 
 def specifications(spark: SparkSession, path: str) -> DataFrame:
-    """(value): whole JSON files. Files of another kind fail the query, so that none is passed over."""
+    """(value): whole specifications as JSON, of files in JSON or, if PyYAML is there, YAML. Files of another kind fail the query, so that none is passed over."""
     rows = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
-    return rows.select(F.when(F.lower("_file").endswith(".json"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON file: "), F.col("_file")))).alias("value"))
+    name = F.lower(F.regexp_replace("_file", r"[?#].*", ""))
+    refused = F.raise_error(F.concat(F.lit("neither JSON nor YAML: "), F.col("_file")))
+    return rows.select(F.when(name.endswith(".json"), F.col("value")).when(name.rlike(r"\.ya?ml$"), yaml_to_json(F.col("value"))).otherwise(refused).alias("value"))
+
+
+@F.pandas_udf(T.StringType())
+def yaml_to_json(texts: pd.Series) -> pd.Series:
+    """YAML documents as JSON; dates become strings, keys too. Needs PyYAML on the executors."""
+    import yaml
+
+    def keyed(x):
+        if isinstance(x, dict):
+            return {k if isinstance(k, str) else json.dumps(k): keyed(v) for k, v in x.items()}
+        return [keyed(v) for v in x] if isinstance(x, list) else x
+
+    return texts.map(lambda t: None if t is None else json.dumps(keyed(yaml.safe_load(t)), ensure_ascii=False, default=str))
 
 
 def table_document(df: DataFrame, name: str, order: list[str], samples: int = 3) -> DataFrame:

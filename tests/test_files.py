@@ -22,11 +22,18 @@ def test_images_are_read_by_type_and_size(spark, tmp_path):
     assert got == {"a.PNG": ("image/png", 10, b"x" * 10), "d.webp": ("image/webp", 1, b"z")}
 
 
-def test_specifications_are_json_files(spark, tmp_path):
+def test_specifications_are_json_or_yaml_files(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps({"openapi": "3.0.0"}, indent=1))
     assert [json.loads(r.value) for r in files.specifications(spark, str(tmp_path)).collect()] == [{"openapi": "3.0.0"}]
-    (tmp_path / "two.yaml").write_text("openapi: 3.0.0")
-    with pytest.raises(Exception, match="not a JSON file"):
+    yaml = pytest.importorskip("yaml")
+    spec = {"openapi": "3.0.0", "paths": {"/a": {"get": {"responses": {"200": {"description": "ü"}}}}}}
+    (tmp_path / "two.yaml").write_text(yaml.safe_dump(spec) + "info:\n  version: 2024-01-01\n")
+    (tmp_path / "three.YML").write_text("paths: {/b: {get: {responses: {200: {description: number}}}}}")
+    found = [json.loads(r.value) for r in files.specifications(spark, str(tmp_path)).collect()]
+    assert {"openapi": "3.0.0"} in found and spec | {"info": {"version": "2024-01-01"}} in found
+    assert {"paths": {"/b": {"get": {"responses": {"200": {"description": "number"}}}}}} in found
+    (tmp_path / "four.txt").write_text("openapi: 3.0.0")
+    with pytest.raises(Exception, match="neither JSON nor YAML"):
         files.specifications(spark, str(tmp_path)).collect()
 
 
