@@ -29,5 +29,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _name in ("search", "scalars", "documents", "dialog", "relational", "quality", "structured", "services", "records", "catalog", "sessions", "indexing", "files", "near", "pages", "statements"):
+for _name in ("search", "scalars", "documents", "dialog", "relational", "quality", "structured", "services", "records", "catalog", "sessions", "indexing", "files", "near", "pages", "statements", "handlers"):
     import_module(f"quillspark.plans.{_name}")

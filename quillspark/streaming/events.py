@@ -63,16 +63,30 @@ def upsert_stream(events: DataFrame, folder: str, checkpoint: str, key: str, ord
         before = newest_snapshot(batch.sparkSession, folder, batch_id)
         rows = last if before is None else last_write(before.unionByName(last), key, [F.desc(c) for c in order])
         rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id:08d}")
+        vacuum(batch.sparkSession, folder)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_number(spark: SparkSession, folder: str, before: int | None = None) -> int:
-    """The number of the newest finished snapshot, of one under ``before`` if that is given; -1 if there is none."""
+def finished(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the finished snapshots, in order."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/_SUCCESS")
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    done = [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
-    return max((b for b in done if before is None or b < before), default=-1)
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+
+
+def newest_number(spark: SparkSession, folder: str, before: int | None = None) -> int:
+    """The number of the newest finished snapshot, of one under ``before`` if that is given; -1 if there is none."""
+    return max((b for b in finished(spark, folder) if before is None or b < before), default=-1)
+
+
+def vacuum(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:
+    """Deletes all finished snapshots but the ``keep`` newest; the numbers of those that went. Readers of an older one fail."""
+    gone = finished(spark, folder)[:-keep] if keep > 0 else []
+    for number in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={number:08d}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def newest_snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
