@@ -19,7 +19,7 @@ def word_windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
     """Windows of words that overlap; none for a text without words."""
     starts = lambda words: F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size - overlap))
     cut = lambda words: F.transform(starts(words), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
-    return let(tokens(text), lambda words: F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(cut(words)))
+    return let(tokens(text), lambda words: F.when(F.size(words) > 0, cut(words)).otherwise(F.array().cast("array<string>")))
 
 
 def split_recursive(text: str | None, size: int, overlap: int, separators: list[str] = SEPARATORS) -> list[str]:

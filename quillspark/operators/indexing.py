@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import chunking, tables
+from .observing import observed
 
 
 def changes(indexed: DataFrame, documents: DataFrame) -> DataFrame:
@@ -17,6 +18,22 @@ def changes(indexed: DataFrame, documents: DataFrame) -> DataFrame:
     return tables.diff(indexed, now, "doc_id", "content_hash")
 
 
+ACTIONS = ("created", "updated", "unchanged", "deleted")
+
+
+def written_changes(indexed: DataFrame, documents: DataFrame, path: str, *counters: Column) -> tuple[DataFrame, dict]:
+    """(doc_id, action, content_hash) of all documents that aren't unchanged, written once, and how many there are of each action.
+
+    The counts come with the write, as do ``counters``, aggregates over all rows (doc_id, action).
+    """
+    now = documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    every = tables.diff(indexed, now, "doc_id", "content_hash", keep=True)
+    seen = Observation()
+    counts = [F.count_if(F.col("action") == a).alias(a) for a in ACTIONS]
+    observed(every, seen, *counts, *counters).where("action != 'unchanged'").write.parquet(path)
+    return documents.sparkSession.read.schema(every.schema).parquet(path), seen.get
+
+
 def refresh(chunks: DataFrame, indexed: DataFrame, documents: DataFrame, parts: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """(chunks, changes) after a synchronisation.
 

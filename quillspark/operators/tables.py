@@ -36,10 +36,13 @@ def last_write(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return events.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
-def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
-    """(key, action): created, updated, unchanged or deleted, by hash, where null equals null; a fetch that failed must not be in ``old`` either."""
+def diff(old: DataFrame, new: DataFrame, key: str, digest: str, keep: bool = False) -> DataFrame:
+    """(key, action): created, updated, unchanged or deleted, by hash, where null equals null; a fetch that failed must not be in ``old`` either.
+
+    ``keep`` adds the digest of ``new``.
+    """
     a = old.select(key, F.col(digest).alias("_old"), F.lit(True).alias("_was"))
     b = new.select(key, F.col(digest).alias("_new"), F.lit(True).alias("_is"))
     changed = ~F.col("_old").eqNullSafe(F.col("_new"))
     action = F.when(F.col("_was").isNull(), "created").when(F.col("_is").isNull(), "deleted").when(changed, "updated").otherwise("unchanged")
-    return a.join(b, key, "full_outer").select(key, action.alias("action"))
+    return a.join(b, key, "full_outer").select(key, action.alias("action"), *([F.col("_new").alias(digest)] if keep else []))
