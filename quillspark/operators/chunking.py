@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,10 +88,16 @@ def chunk_documents(docs: DataFrame, parts: Column) -> DataFrame:
     return _numbered(docs, parts)
 
 
-def hierarchical(docs: DataFrame, d=DEFAULTS, include_parents: bool = True) -> DataFrame:
-    """Parents and their children: chunk_id, doc_id, chunk_type, chunk_index, parent_id, index_in_parent, text."""
-    parents = _numbered(docs, recursive_chunks(d.parent_size, d.parent_overlap)(F.col("text")), "parent")
-    cut = recursive_chunks(d.child_size, d.child_overlap)
+Cut = Callable[[Column], Column]
+
+
+def hierarchical(docs: DataFrame, d=DEFAULTS, include_parents: bool = True, parent_cut: Cut | None = None, child_cut: Cut | None = None) -> DataFrame:
+    """Parents and their children: chunk_id, doc_id, chunk_type, chunk_index, parent_id, index_in_parent, text.
+
+    Both are cut recursively, or by functions of a text Column of one's own.
+    """
+    parents = _numbered(docs, (parent_cut or recursive_chunks(d.parent_size, d.parent_overlap))(F.col("text")), "parent")
+    cut = child_cut or recursive_chunks(d.child_size, d.child_overlap)
     split = parents.select("doc_id", F.col("chunk_id").alias("parent_id"), F.col("chunk_index").alias("parent_index"), cut(F.col("text")).alias("parts"))
     whole = split.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("parent_index", "parent_id", "parts"))).alias("tree"))
     tagged = F.flatten(F.transform("tree", lambda p: F.transform(p["parts"], lambda t, i: F.struct(p["parent_id"].alias("parent_id"), i.alias("index_in_parent"), t.alias("text")))))

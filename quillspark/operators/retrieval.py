@@ -158,3 +158,34 @@ def search(queries: DataFrame, corpus: DataFrame, wanted: SearchFilter | None =
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("threshold must be between 0 and 1")
     return top_k(similarities(queries, where_equal(corpus, asdict(wanted or SearchFilter()))), limit, threshold)
+
+
+def search_with_parents(queries: DataFrame, chunks: DataFrame, wanted: SearchFilter | None = None, limit: int = DEFAULTS.top_k, threshold: float = 0.0) -> DataFrame:
+    """(query_id, rank, id, score, parent_id, parent_context): the best children for each query, with the text of their parents.
+
+    ``chunks`` are parents and children in one table (chunk_id, chunk_type, parent_id, text, embedding and what the
+    filter asks for). Only children are searched, as small texts match more exactly; the parent gives the answer its context. A
+    child whose parent isn't there has none, and stays. Texts are joined to the few rows that were found.
+    """
+    children = chunks.where("chunk_type = 'child'")
+    found = search(queries, children.withColumnRenamed("chunk_id", "vec_id"), wanted, limit, threshold)
+    of = children.select(F.col("chunk_id").alias("id"), "parent_id")
+    parents = chunks.where("chunk_type = 'parent'").select(F.col("chunk_id").alias("parent_id"), F.col("text").alias("parent_context"))
+    return found.join(of, "id").join(parents, "parent_id", "left").select("query_id", "rank", "id", "score", "parent_id", "parent_context")
+
+
+# What is said where nothing was found or something failed.
+NOTHING = "검색 결과가 없습니다."
+
+
+def fallback(reason: Column | None = None) -> Column:
+    """struct<text, sources, is_fallback>: the answer that stands in for one, with the reason for it."""
+    why = F.lit(NOTHING) if reason is None else F.coalesce(reason, F.lit(NOTHING))
+    return F.struct(F.concat(F.lit("죄송합니다. "), why, F.lit(" 다른 질문을 시도해 주세요.")).alias("text"), F.array().cast("array<string>").alias("sources"), F.lit(True).alias("is_fallback"))
+
+
+def responses(found: DataFrame, failed: Column | None = None) -> DataFrame:
+    """``found`` (query_id, n_documents, cited, answer) as (query_id, response), a fallback where no document was relevant or ``failed`` says why."""
+    said = F.struct(F.col("answer").alias("text"), F.coalesce("cited", F.array().cast("array<string>")).alias("sources"), F.lit(False).alias("is_fallback"))
+    bad = F.col("n_documents") == 0 if failed is None else (F.col("n_documents") == 0) | failed.isNotNull()
+    return found.select("query_id", F.when(bad, fallback(failed)).otherwise(said).alias("response"))

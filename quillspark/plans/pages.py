@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import page_records as P
-from ..queries import query, table
+from ..queries import query, shared_folder, table
 from ..sources import paged
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder that all executors see: in spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quillspark-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 #: Four lists of pages; the title hides in a property of another name and type from page to page.
 RECORD = """concat('{"id":"p', page_id, '","url":"', url, '","created_time":"2024-01-', lpad(CAST(page_id % 28 + 1 AS varchar(2)), 2, '0'), 'T00:00:00Z","created_by":{"id":"u', page_id % 7, '"},',
  CASE page_id % 3 WHEN 0 THEN '"archived":true,' WHEN 1 THEN '"archived":"unknown",' ELSE '' END,

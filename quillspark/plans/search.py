@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import retrieval as R
-from ..queries import query, table
+from ..operators.postings import Postings
+from ..queries import query, shared_folder, table
 
 COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 SCORED = f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {COS} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)"
@@ -85,7 +86,7 @@ def _lexical(spark, sf_dir):
     """The texts of all documents whose id is divisible by 100 as queries against all documents."""
     docs = table(spark, sf_dir, "documents")
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    return R.top_k(R.search_terms(asked, docs), 10)
+    return R.top_k(Postings.build(docs.where("doc_id IS NOT NULL"), shared_folder(spark, "postings")).search(asked), 10)
 
 
 @query(f"{BM25} SELECT query_id, id, score, rank FROM lr")

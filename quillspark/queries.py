@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from importlib import import_module
 
@@ -29,5 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _name in ("search", "scalars", "documents", "dialog", "relational", "quality", "structured", "services", "records", "catalog", "sessions", "indexing", "files", "near", "pages", "statements", "handlers"):
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: in spark.checkpoint.dir, or one of our own where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+for _name in ("search", "scalars", "documents", "dialog", "relational", "quality", "structured", "services", "records", "catalog", "sessions", "indexing", "files", "near", "pages", "statements", "handlers", "parents"):
     import_module(f"quillspark.plans.{_name}")
