@@ -21,6 +21,26 @@ def update_sources(sources: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else c for c in sources.columns])
 
 
+def refused_sources(sources: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of ``new`` that ``add_sources`` leaves out, with ``reason``: their name is taken, by a source or by another new one."""
+    known = sources.select("name", F.lit("taken").alias("_was")).distinct()
+    first = W.partitionBy("name").orderBy("source_id")
+    judged = new.withColumn("_nth", F.row_number().over(first)).join(known, "name", "left")
+    reason = F.when(F.col("_was").isNotNull(), F.concat(F.lit("Source with name '"), "name", F.lit("' already exists"))).when(F.col("_nth") > 1, F.concat(F.lit("Name '"), "name", F.lit("' is given twice")))
+    return judged.where("_was is not null or _nth > 1").select(*new.columns, reason.alias("reason"))
+
+
+def unknown_sources(sources: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows of ``changes`` that ``update_sources`` leaves out, with ``reason``: there is no source of their id."""
+    gone = changes.join(sources.select("source_id"), "source_id", "left_anti")
+    return gone.withColumn("reason", F.concat(F.lit("Source with ID '"), "source_id", F.lit("' not found")))
+
+
+def by_id(sources: DataFrame, source_id: int) -> DataFrame:
+    """The source of an id, which is unique; the equality reaches the scan."""
+    return sources.where(F.col("source_id") == source_id).limit(1)
+
+
 def delete_sources(sources: DataFrame, documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is left of sources and of their documents (source_id) without the sources ``ids``."""
     gone = ids.select("source_id")

@@ -14,16 +14,17 @@ from ..config import DEFAULTS
 
 # What marks a part that goes on, and a code block that does.
 CONTINUED, FENCE_CONTINUED = "\n\n_(계속...)_", "\n```\n*(계속)*"
-#: Where a text may be cut, best first, and the share of the limit that must lie before the cut.
-CUTS = [(r"```\s*\n", 0.5), (r"\n\n", 0.5), (r"\n", 0.5), (r"\. ", 0.5), (r"! ", 0.5), (r"\? ", 0.5), (r" ", 0.3)]
+#: Where a text may be cut, best first, and the share of the limit that must lie before the mark (of a closed code block, before its end).
+FENCE_END = re.compile(r"```\s*\n")
+CUTS = [("\n\n", 0.5), ("\n", 0.5), (". ", 0.5), ("! ", 0.5), ("? ", 0.5), (" ", 0.3)]
 
 
 def _cut_at(head: str) -> int:
-    for pattern, least in CUTS:
-        ends = [m.end() for m in re.finditer(pattern, head)]
-        if ends and ends[-1] > least * len(head):
-            return ends[-1]
-    return len(head)
+    fence = max((m.end() for m in FENCE_END.finditer(head)), default=-1)
+    if fence > 0.5 * len(head):
+        return fence
+    marks = ((head.rfind(mark), mark, least) for mark, least in CUTS)
+    return next((at + len(mark) for at, mark, least in marks if at > least * len(head)), len(head))
 
 
 def parts_of(text: str | None, limit: int = DEFAULTS.message_chars) -> Iterator[str]:

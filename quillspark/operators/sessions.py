@@ -11,7 +11,7 @@ from ..config import DEFAULTS
 from .dialog import tail
 
 # Roles that a message may have, and what is said where no answer came.
-ROLES = ["user", "assistant", "system"]
+ROLES = ["user", "assistant"]
 NO_ANSWER = "관련 문서를 찾을 수 없습니다. 다른 키워드로 질문해 주세요."
 
 
@@ -60,6 +60,18 @@ def flat_history(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform("rows", lambda m: m["line"]), "\n").alias("history"))
 
 
+def history_messages(pairs: DataFrame) -> DataFrame:
+    """(conv_id, history): an array of role and content, in order of turns, of (conv_id, turn, user_message, assistant_message).
+
+    Of each pair the user's message comes first; a half that is null or empty is left out, a conversation without any keeps an empty list.
+    """
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    both = F.array(said("user", F.col("user_message")), said("assistant", F.col("assistant_message")))
+    rows = pairs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", both.alias("both")))).alias("rows"))
+    every = F.flatten(F.transform("rows", lambda r: r["both"]))
+    return rows.select("conv_id", F.filter(every, lambda m: F.coalesce(m["content"], F.lit("")) != "").alias("history"))
+
+
 def next_turn(messages: DataFrame, questions: DataFrame, answer: Callable[[Column, Column], Column], history: int = DEFAULTS.history) -> DataFrame:
     """The two messages that a turn adds to each conversation: the question and its answer.
 

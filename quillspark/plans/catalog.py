@@ -40,6 +40,25 @@ def sources_updated(spark, sf_dir):
     return C.update_sources(known, changes)
 
 
+@query(f"SELECT source_id, name, CASE WHEN name IN (SELECT name FROM {SOURCES}) THEN 'Source with name ''' || name || ''' already exists' ELSE 'Name ''' || name || ''' is given twice' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY source_id) AS k FROM {NEW}) WHERE k > 1 OR name IN (SELECT name FROM {SOURCES})")
+def sources_refused(spark, sf_dir):
+    """New sources whose name is taken, and why."""
+    return C.refused_sources(_sources(spark, sf_dir), _new(spark, sf_dir)).select("source_id", "name", "reason")
+
+
+@query(f"SELECT source_id, 'changed' AS name, 'Source with ID ''' || source_id || ''' not found' AS reason FROM {NEW}")
+def sources_unknown(spark, sf_dir):
+    """Changes of sources that aren't there, and of some that are."""
+    known = _sources(spark, sf_dir)
+    changes = known.unionByName(_new(spark, sf_dir)).select("source_id", F.lit("changed").alias("name"))
+    return C.unknown_sources(known, changes)
+
+
+@query(f"SELECT source_id, name, source_type FROM {SOURCES} WHERE source_id = 5")
+def source_by_id(spark, sf_dir):
+    return C.by_id(_sources(spark, sf_dir), 5)
+
+
 @query(f"SELECT s.source_id, count(d.doc_id) AS documents FROM (SELECT * FROM {SOURCES} WHERE source_type <> 'notion') s LEFT JOIN {DOCUMENTS} d ON d.source_id = s.source_id GROUP BY s.source_id")
 def source_cascade(spark, sf_dir):
     """Sources of one type are deleted; what is left of the others and their documents."""

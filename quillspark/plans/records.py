@@ -41,18 +41,22 @@ def column_completeness(spark, sf_dir):
     return P.completeness(table(spark, sf_dir, "documents"), ["text", "lang", "source"])
 
 
-QUESTIONS = ["주문 테이블 알려줘", "칼럼 문서", "Wiki 어디", "설명해줘 SELECT 1", "설명해줘", "매출 합계", None]
+ASKED = "CASE o_orderkey % 7 WHEN 0 THEN concat('주문 테이블 ', o_orderkey) WHEN 1 THEN concat(o_orderkey, ' 칼럼 문서') WHEN 2 THEN 'Wiki 어디' WHEN 3 THEN concat('설명해줘 SELECT ', o_orderkey) WHEN 4 THEN '설명해줘 selected' WHEN 5 THEN concat('매출 ', o_orderpriority) END"
 
 
-@query("SELECT * FROM (VALUES (0, 'data_discovery'), (1, 'data_discovery'), (2, 'knowledge_discovery'), (3, 'query_assistant'), (4, 'text_to_sql'), (5, 'text_to_sql'), (6, 'text_to_sql')) t(question, route)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 2 THEN 'data_discovery' WHEN o_orderkey % 7 = 2 THEN 'knowledge_discovery' WHEN o_orderkey % 7 = 3 THEN 'query_assistant' ELSE 'text_to_sql' END AS route FROM orders")
 def keyword_route(spark, sf_dir):
-    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "question int, said string")
-    return asked.select("question", P.keyword_route(F.col("said")).alias("route"))
+    """The chain for a question about each order; some fit two, some none, some are null."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", P.keyword_route(F.expr(ASKED)).alias("route"))
 
 
-@query("SELECT status, count(*) AS n, status = 429 OR status >= 500 AS again FROM (SELECT CASE event_type WHEN 'error' THEN 503 WHEN 'click' THEN 429 ELSE 404 END AS status FROM events) GROUP BY 1")
+CODES = ["rate_limited", "internal_server_error", "service_unavailable", "validation_error"]
+
+
+@query("SELECT status, code, count(*) AS n, status = 429 OR status >= 500 OR coalesce(code IN ('rate_limited', 'internal_server_error', 'service_unavailable'), false) AS again FROM (SELECT CASE event_type WHEN 'error' THEN 503 WHEN 'click' THEN 429 ELSE 404 END AS status, (['rate_limited', 'internal_server_error', 'service_unavailable', 'validation_error', NULL])[(event_id % 5 + 1)::INT] AS code FROM events) GROUP BY 1, 2")
 def retry_policy(spark, sf_dir):
-    """Event types stand in for the status of calls."""
+    """Event types stand in for the status of calls, ids for the codes in their answers."""
     kind = F.col("event_type")
-    calls = table(spark, sf_dir, "events").select(F.when(kind == "error", 503).when(kind == "click", 429).otherwise(404).alias("status"))
-    return calls.groupBy("status").agg(F.count("*").alias("n")).withColumn("again", T.retryable(F.col("status"), F.lit(None).cast("string")))
+    code = F.get(F.array(*map(F.lit, CODES)), (F.col("event_id") % 5).cast("int"))
+    calls = table(spark, sf_dir, "events").select(F.when(kind == "error", 503).when(kind == "click", 429).otherwise(404).alias("status"), code.alias("code"))
+    return calls.groupBy("status", "code").agg(F.count("*").alias("n")).withColumn("again", T.retryable(F.col("status"), F.col("code")))

@@ -26,31 +26,37 @@ def message_split(spark, sf_dir):
     return parts.select("doc_id", F.posexplode(M.numbered(F.col("p"))).alias("part", "text"))
 
 
-BLOCK_ROWS = [
-    ("p1", "a", None, 0, "heading_2", "Guide", None, None, None, None, None, None, None),
-    ("p1", "b", None, 1, "toggle", "More", None, None, None, None, None, None, None),
-    ("p1", "c", "b", 0, "to_do", "Test", None, None, None, None, None, True, None),
-    ("p1", "d", "b", 1, "code", "x = 1", None, None, "python", None, None, None, None),
-    ("p1", "e", None, 2, "column_list", None, None, None, None, None, None, None, None),
-    ("p1", "f", "e", 0, "table_row", None, None, None, None, None, None, None, ["k", "v"]),
-    ("p1", "g", None, 3, "bookmark", None, "Site", "https://example.com", None, None, None, None, None),
-    ("p2", "h", None, 0, "callout", "Note", None, None, None, "!", None, None, None),
-    ("p2", "i", None, 1, "image", None, None, None, None, None, None, None, None),
-    ("p2", "j", None, 2, "paragraph", "  ", None, None, None, None, None, None, None),
-]
-
-
-@query("SELECT page_id, replace(content, '@', chr(10)) AS content FROM (VALUES ('p1', '## Guide@@More@@[x] Test@@```python@x = 1@```@@k | v@@[Site](https://example.com)'), ('p2', '! Note@@[이미지]')) t(page_id, content)")
-def block_texts(spark, sf_dir):
-    return B.page_texts(spark.createDataFrame(BLOCK_ROWS, B.BLOCKS))
-
+#: Each document is a page of eight blocks, some inside others: (name, parent, position, type).
+BLOCKS = [("a", None, 0, "heading_2"), ("b", None, 1, "toggle"), ("c", "b", 1, "to_do"), ("d", "b", 0, "code"), ("e", None, 2, "column_list"), ("f", "e", 0, "table_row"), ("g", None, 3, "bookmark"), ("h", "f", 0, "paragraph")]
 
-ANSWERS = ["Here:\n```sql\nSELECT a FROM t;\n```\ndone", "Try select b from t", "DROP TABLE t", "```sql\nDELETE FROM t\n```", "SELECT 1; DROP TABLE t;", "", "SELECT updated FROM t;"]
 
-
-@query("SELECT * FROM (VALUES (0, 'SELECT a FROM t;', NULL), (1, 'select b from t;', NULL), (2, 'DROP TABLE t', 'Only SELECT statements are allowed'), (3, 'DELETE FROM t', 'Only SELECT statements are allowed'), (4, 'SELECT 1; DROP TABLE t;', 'Dangerous operation detected: DROP'), (5, '', 'SQL query is empty'), (6, 'SELECT updated FROM t;', NULL)) t(answer, sql, problem)")
+@query("""SELECT 'p' || doc_id AS page_id, concat_ws(chr(10) || chr(10), '## ' || coalesce(source, ''), 'T' || doc_id, '```sql' || chr(10) || 'SELECT ' || doc_id || chr(10) || '```', CASE WHEN doc_id % 2 = 0 THEN '[x] ' ELSE '[ ] ' END || coalesce(lang, ''),
+ coalesce(lang, '') || ' | ' || doc_id, CASE WHEN doc_id % 3 > 0 THEN 'D' || n_chars END, CASE WHEN doc_id % 5 = 0 THEN 'https://d.example/' || doc_id ELSE '[Site ' || doc_id || '](https://d.example/' || doc_id || ')' END) AS content FROM documents""")
+def block_texts(spark, sf_dir):
+    """Block trees made of all documents, as text in reading order; blank blocks leave no line."""
+    doc, name = F.col("doc_id").cast("string"), F.col("b.block_id")
+    listed = F.array(*[F.struct(F.lit(n).alias("block_id"), F.lit(up).cast("string").alias("parent_id"), F.lit(at).alias("position"), F.lit(kind).alias("type")) for n, up, at, kind in BLOCKS])
+    each = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.explode(listed).alias("b"))
+    text = F.when(name == "a", F.coalesce("source", F.lit(""))).when(name == "b", F.concat(F.lit("T"), doc)).when(name == "c", F.coalesce("lang", F.lit(""))).when(name == "d", F.concat(F.lit("SELECT "), doc)).when(name == "h", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("D"), "n_chars")).otherwise("  "))
+    none = F.lit(None).cast("string")
+    rows = each.select(
+        F.concat(F.lit("p"), doc).alias("page_id"), "b.*", text.alias("text"), F.when((name == "g") & (F.col("doc_id") % 5 != 0), F.concat(F.lit("Site "), doc)).alias("caption"),
+        F.when(name == "g", F.concat(F.lit("https://d.example/"), doc)).alias("url"), F.when(name == "d", "sql").alias("language"), none.alias("icon"), none.alias("name"),
+        (F.col("doc_id") % 2 == 0).alias("checked"), F.when(name == "f", F.array(F.coalesce("lang", F.lit("")), doc)).alias("cells"),
+    )
+    return B.page_texts(rows)
+
+
+#: What a model says about each order: fenced, in prose, a write, a write in a fence, two statements, nothing, a harmless word.
+SAID = """CASE o_orderkey % 7 WHEN 0 THEN concat('Here:\n```sql\nSELECT a FROM t', o_orderkey, ';\n```\ndone') WHEN 1 THEN concat('Try select b from t', o_orderkey) WHEN 2 THEN concat('DROP TABLE t', o_orderkey)
+ WHEN 3 THEN concat('```sql\nDELETE FROM t', o_orderkey, '\n```') WHEN 4 THEN concat('SELECT ', o_orderkey, '; DROP TABLE t;') WHEN 5 THEN '' ELSE concat('SELECT updated FROM t', o_orderkey, ';') END"""
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'SELECT a FROM t' || o_orderkey || ';' WHEN 1 THEN 'select b from t' || o_orderkey || ';' WHEN 2 THEN 'DROP TABLE t' || o_orderkey WHEN 3 THEN 'DELETE FROM t' || o_orderkey WHEN 4 THEN 'SELECT ' || o_orderkey || '; DROP TABLE t;' WHEN 5 THEN '' ELSE 'SELECT updated FROM t' || o_orderkey || ';' END AS sql,
+ CASE o_orderkey % 7 WHEN 2 THEN 'Only SELECT statements are allowed' WHEN 3 THEN 'Only SELECT statements are allowed' WHEN 4 THEN 'Dangerous operation detected: DROP' WHEN 5 THEN 'SQL query is empty' END AS problem FROM orders""")
 def sql_guard(spark, sf_dir):
-    sql = spark.createDataFrame(list(enumerate(ANSWERS)), "answer int, said string").select("answer", T.extract_sql(F.col("said")).alias("sql"))
+    """Statements in answers about all orders, and why they are refused, by their words alone."""
+    sql = table(spark, sf_dir, "orders").select("o_orderkey", T.extract_sql(F.expr(SAID)).alias("sql"))
     return sql.withColumn("problem", T.sql_problem(F.col("sql")))
 
 

@@ -19,7 +19,7 @@ def _messages(spark, sf_dir):
 NEW = "(SELECT conv_id * 2 AS conv_id, 1000 + turn AS turn, CASE WHEN turn % 3 = 2 THEN 'tool' ELSE role END AS role, text FROM conversations)"
 
 
-@query(f"SELECT conv_id, turn, role, length(text)::BIGINT AS chars FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM {NEW} WHERE role IN ('user', 'assistant', 'system') AND conv_id IN (SELECT conv_id FROM conversations))")
+@query(f"SELECT conv_id, turn, role, length(text)::BIGINT AS chars FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM {NEW} WHERE role IN ('user', 'assistant') AND conv_id IN (SELECT conv_id FROM conversations))")
 def messages_appended(spark, sf_dir):
     known = _messages(spark, sf_dir)
     role = F.when(F.col("turn") % 3 == 2, "tool").otherwise(F.col("role"))
@@ -55,6 +55,18 @@ def history_flat(spark, sf_dir):
     return S.flat_history(known).join(known.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id").select("conv_id", "n", "history")
 
 
+PAIRED = "(SELECT conv_id, turn // 2 AS turn, max(text) FILTER (role = 'user') AS u, max(text) FILTER (role = 'assistant' AND turn % 4 <> 3) AS a FROM conversations GROUP BY conv_id, turn // 2)"
+
+
+@query(f"SELECT conv_id, sum((coalesce(u, '') <> '')::INT + (coalesce(a, '') <> '')::INT)::BIGINT AS n, sha256(coalesce(string_agg(concat_ws(chr(10), 'user:' || nullif(u, ''), 'assistant:' || nullif(a, '')), chr(10) ORDER BY turn) FILTER (coalesce(u, '') <> '' OR coalesce(a, '') <> ''), '')) AS sha FROM {PAIRED} GROUP BY conv_id")
+def history_list(spark, sf_dir):
+    """The history as a list of messages; of some pairs the answer is missing."""
+    both = _messages(spark, sf_dir).groupBy("conv_id", F.floor(F.col("turn") / 2).alias("turn")).agg(
+        F.max(F.when(F.col("role") == "user", F.col("text"))).alias("user_message"), F.max(F.when((F.col("role") == "assistant") & (F.col("turn") % 4 != 3), F.col("text"))).alias("assistant_message"))
+    said = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return S.history_messages(both).select("conv_id", F.size("history").cast("long").alias("n"), F.sha2(said, 256).alias("sha"))
+
+
 @query("SELECT conv_id, count(*) AS n, sha256(string_agg(role || chr(10) || text, chr(10) ORDER BY turn, role, text)) AS sha FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
 def model_messages(spark, sf_dir):
     """The messages in the format of a model, read back from their JSON."""
