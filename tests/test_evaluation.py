@@ -48,4 +48,3 @@ def test_cuts_are_judged_by_where_their_mark_begins():
     for _ in range(3000):
         head = "".join(rng.choice("aab.!? \n`" if rng.random() < 0.5 else "abcde. ") for _ in range(20))
         assert M._cut_at(head) == safe_cut(head, 20)
-    assert M._cut_at("a" * 10 + "\n\n" + "b" * 8) == 20  # begins at the middle, not beyond it
