@@ -50,7 +50,7 @@ def _jumps(nodes: DataFrame) -> list[DataFrame]:
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, depth) of every root-to-leaf path; depth is 0 at the root.
 
-    ``nodes`` has tree, node and parent, all long, each (tree, node) once. A parent that isn't there makes a root. A
+    ``nodes`` has tree, of any type, node and parent, both long, each (tree, node) once. A parent that isn't there makes a root. A
     path is enumerated by self-joins with the ancestors 2^k steps up, largest step first: each doubles what is known,
     so rows never exceed the paths' own length. Nodes on cycles of parents, and what hangs on them, have no root and
     are left out.
@@ -70,7 +70,7 @@ def paths(nodes: DataFrame) -> DataFrame:
 def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
     """(tree, leaf, branch_rank, score, formatted, loss_spans), one row per chosen root-to-leaf path.
 
-    ``messages`` has tree, node, parent (long), role, text and score. A branch scores the sum of its messages' scores
+    ``messages`` has tree, node, parent (both long), role, text and score. A branch scores the sum of its messages' scores
     (null: 0); a tree's branches rank by score, then by leaf, and the ``best`` ones are formatted (None: all). Null
     roles and texts are empty. loss_spans are the offsets, in characters of ``formatted``, of the escaped assistant
     texts. Of rows that repeat (tree, node) the least by parent, role,
@@ -115,14 +115,13 @@ def read_loss(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
-#: Stands for a null conversation id, which is a conversation of its own.
-NO_ID = -(2**63)
-
-
 def conversation_nodes(conversations: DataFrame) -> DataFrame:
-    """Rows of linear conversations as reply chains: each row answers the one before it by turn (then role, text)."""
+    """Rows of linear conversations as reply chains: each row answers the one before it by turn (then role, text).
+
+    The tree is the id as a string, empty for null, which is a conversation of its own beside those of all numbers.
+    """
     order = W.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("tree"), "turn", "role", "text")
+    rows = conversations.select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("tree"), "turn", "role", "text")
     return rows.withColumn("node", F.row_number().over(order).cast("long")).select(
         "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")
     )
@@ -134,7 +133,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     Rows go by turn, null first; rows that repeat a turn all stay, in the order of role and text. Null texts are empty.
     """
     done = format_trees(settle(conversation_nodes(conversations), "turns"), best=1)
-    return done.select(F.when(F.col("tree") != NO_ID, F.col("tree")).alias("conv_id"), "formatted", "loss_spans")
+    return done.select(F.nullif("tree", F.lit("")).cast("long").alias("conv_id"), "formatted", "loss_spans")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
