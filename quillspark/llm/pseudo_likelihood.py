@@ -144,8 +144,14 @@ class Network:
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max()  # one for all rows, far quicker than each row's own; logits are near each other
-    return z - np.log(np.exp(z) @ np.ones((z.shape[1], 1), z.dtype) + 1e-30)
+    """Of each row. One maximum for all rows is far quicker than each row's own; rows far below it get their own."""
+    z = z - z.max()
+    total = np.exp(z) @ np.ones((z.shape[1], 1), z.dtype)
+    low = np.flatnonzero(total[:, 0] < 1e-20)
+    if len(low):
+        own = z[low] - z[low].max(1, keepdims=True)
+        z[low], total[low] = own, np.exp(own).sum(1, keepdims=True)
+    return z - np.log(total)
 
 
 def _by_group(cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

@@ -33,3 +33,14 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
         got = words.hashed_words(pa.array([t]))
         for name in ("hashes", "offsets", "begin", "end", "line", "data"):
             assert np.array_equal(getattr(got, name), getattr(want, name)), name
+
+
+def test_rows_far_below_the_others_still_sum_to_one():
+    z = np.random.default_rng(0).standard_normal((6, 50)).astype(np.float32)
+    z[1] -= 60
+    z[2] -= 80
+    z[3] -= 1e4
+    want = z.astype(np.float64) - z.max(1, keepdims=True)
+    want -= np.log(np.exp(want).sum(1, keepdims=True))
+    got = pseudo_likelihood._log_softmax(z)
+    assert np.allclose(np.exp(got).sum(1), 1, atol=1e-4) and np.allclose(got[[0, 1, 4, 5]], want[[0, 1, 4, 5]], atol=1e-3)
