@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, cotraining, decontaminate, licenses, mixing, paragraphs, prefix_forest, pseudo_likelihood, queries, simhash, token_shards
+from quillspark.llm import chat, cotraining, decontaminate, licenses, mixing, paragraphs, prefix_forest, pseudo_likelihood, queries, scratch, simhash, token_shards
 from quillspark.llm.components import components
 from quillspark.llm.scratch import settle
 from quillspark.llm.words import hashed_words
@@ -665,3 +665,18 @@ def test_sql_agrees(spark, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert sorted(map(str, got[columns].itertuples(index=False))) == sorted(map(str, want[columns].itertuples(index=False)))
+
+
+def test_several_automata_leave_hits_alone(spark, tmp_path, monkeypatch):
+    """Of passes only the hits are written: far less than the texts, however many automata there are."""
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    many = decontaminate.contamination(docs, items, limit=1500).drop("spans")
+    got = sorted(map(tuple, many.collect()))
+    assert got == sorted(map(tuple, decontaminate.contamination(docs, items).drop("spans").collect()))
+    kept = decontaminate.clean(docs.unionByName(docs), items, limit=1500)
+    clean = [r[0] for r in got if not r[5]]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(clean + clean)
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert 0 < written < 0.3 * sum(len(r.text.encode()) for r in docs.select("text").collect())
