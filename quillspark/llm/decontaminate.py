@@ -146,73 +146,6 @@ def _hits(docs: DataFrame, automaton: Automaton, none: dict, doc_text: str) -> D
     return settled.df
 
 
-def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged word ranges [start, end) inside occurrences, and the items that occur. One pass over the text."""
-        found: list[tuple[int, int]] = []
-        items: set[str] = set()
-        if not self.ids or not words:
-            return found, items
-        text, at, seen = _joined(words), 0, 0
-        spans = []
-        for end, k in self.machine.iter(text):
-            seen += text.count(" ", at, end)
-            at = end
-            spans.append((seen - self.lengths[k], seen))
-            items.update(self.ids[k])
-        for a, b in sorted(spans):
-            if found and a <= found[-1][1]:
-                found[-1] = (found[-1][0], max(b, found[-1][1]))
-            else:
-                found.append((a, b))
-        return found, items
-
-
-def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Word ranges as offsets in the original text."""
-    words = [m.span() for m in WORD.finditer(text.translate(UPPER))] if ranges else []
-    return [(words[a][0], words[b - 1][1]) for a, b in ranges]
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, limit: int) -> Iterator[Automaton]:
-    """Automata of at most about ``limit`` bytes of texts each, read one block at a time."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-total // limit) or 1
-    for i in range(count):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == i) if count > 1 else items
-        yield Automaton.of([(r["item"], r["text"]) for r in block.toLocalIterator()], width)
-
-
-#: What a scan adds, under names of its own.
-N_WORDS, RANGES, ITEMS, SPANS = (f"__qs_{x}" for x in ("n_words", "ranges", "items", "spans"))
-PAIRS = "array<struct<start:int,end:int>>"
-
-
-def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, doc_text: str, item_id: str, item_text: str, limit: int) -> DataFrame:
-    """``docs`` with the four columns. Each automaton has a pass of its own over the documents, whose result is written."""
-    spark = docs.sparkSession
-    none = {N_WORDS: F.lit(0).cast("long"), RANGES: F.lit(None).cast(PAIRS), ITEMS: F.lit(None).cast("array<string>"), SPANS: F.lit(None).cast(PAIRS)}
-    base, before = docs.withColumns(none), None
-    for automaton in _blocks(benchmark, item_id, item_text, width, limit):
-        if before is not None:  # so that a task holds one automaton, however many there are
-            settled = Settled(base, "scanned")
-            before.unpersist()
-            base = settled.df
-        before = spark.sparkContext.broadcast(automaton)
-        base = base.mapInArrow(_scanner(before, doc_text), base.schema)
-    return base
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
     """``docs`` with n_words, ranges (hit words), items and spans (offsets in the original text).
 
