@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -52,15 +53,22 @@ def estimate_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 3).cast("long")
 
 
-def pii_names(text: Column) -> Column:
+Patterns = list[tuple[str, str, str]]
+
+
+def pii_names(text: Column, patterns: Patterns = PII_PATTERNS) -> Column:
     """Names of the sensitive patterns found, in their order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p, _ in PII_PATTERNS]))
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p, _ in patterns]))
+
 
+def pii_mask(text: Column, own: dict[str, str] | None = None, patterns: Patterns = PII_PATTERNS, filters: tuple[Callable[[Column], Column], ...] = ()) -> Column:
+    """Replaces pattern after pattern; a pattern counts if it is in the original text.
 
-def pii_mask(text: Column, own: dict[str, str] | None = None) -> Column:
-    """Replaces pattern after pattern; a pattern counts if it is in the original text. ``own``: other replacements by name."""
+    ``own``: other replacements by name; ``patterns``: others than the usual ones (name, expression, replacement);
+    ``filters``: functions of the masked text that are applied after them, in order.
+    """
     masked = lambda c, p: let(c, lambda x: F.when(text.rlike(p[1]), F.regexp_replace(x, p[1], (own or {}).get(p[0], p[2]))).otherwise(x))
-    return reduce(masked, PII_PATTERNS, text)
+    return reduce(lambda c, f: f(c), filters, reduce(masked, patterns, text))
 
 
 def strip_mentions(text: Column) -> Column:

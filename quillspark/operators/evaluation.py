@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hits(results: DataFrame, cutoffs: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """One row per query of (query_id, rank, relevant): hit at each cut-off and the reciprocal rank, 0 for a miss."""
+def hits(results: DataFrame, cutoffs: tuple[int, ...] = (1, 5, 10), *more: Column) -> DataFrame:
+    """One row per query of (query_id, rank, relevant): hit at each cut-off and the reciprocal rank, 0 for a miss, and ``more`` aggregates."""
     best = F.min(F.when(F.col("relevant"), F.col("rank")))
-    return results.groupBy("query_id").agg(*[F.coalesce(best <= k, F.lit(False)).alias(f"hit_{k}") for k in cutoffs], F.coalesce(1.0 / best, F.lit(0.0)).alias("reciprocal_rank"))
+    return results.groupBy("query_id").agg(*[F.coalesce(best <= k, F.lit(False)).alias(f"hit_{k}") for k in cutoffs], F.coalesce(1.0 / best, F.lit(0.0)).alias("reciprocal_rank"), *more)
 
 
 #: Buckets into which each round cuts the interval of a value that is looked for.

@@ -85,6 +85,19 @@ def parent_context(hits: DataFrame, parents: DataFrame) -> DataFrame:
     return hits.join(parents.select(F.col("chunk_id").alias("parent_id"), F.col("text").alias("parent_text")), "parent_id", "left")
 
 
+# What stands around documents and question, and what is asked for.
+DOCUMENT_PROMPT = ("<documents>\n", "\n</documents>\n\n<question>\n", "\n</question>\n\nBased on the documents provided above, answer the question. Include citations to specific documents.")
+
+
+def document_prompts(questions: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id, prompt): documents with number and title in tags, in rank order, then the question (query_id, question); none where none was found."""
+    one = lambda d, i: F.concat(F.lit('<document id="'), (i + 1).cast("string"), F.lit('" title="'), d["title"], F.lit('">\n'), d["content"], F.lit("\n</document>"))
+    parts = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "content"))).alias("found"))
+    documents = F.coalesce(F.array_join(F.transform("found", one), "\n\n"), F.lit(""))
+    before, between, after = map(F.lit, DOCUMENT_PROMPT)
+    return questions.join(parts, "query_id", "left").select("query_id", F.concat(before, documents, between, "question", after).alias("prompt"))
+
+
 # Prompts with nothing found, and the end of one that follows an answer; the reply where no answer came.
 NOTHING_FOUND = ("관련 문서를 찾을 수 없습니다.\n\n## 질문\n", "\n\n위 질문에 대해 관련 문서를 찾을 수 없다고 안내하고,\n질문을 다시 구체화하거나 다른 키워드로 질문해달라고 요청하세요.")
 FOLLOWUP = "\n\n이전 답변을 참고하여 후속 질문에 답변해주세요."

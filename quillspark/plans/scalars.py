@@ -113,3 +113,11 @@ def embedding_inputs(spark, sf_dir):
 @query("SELECT doc_id, substr(sha256('Document ' || doc_id || ':' || substr(text, 1, 5000)), 1, 16) AS cache_key FROM documents")
 def cache_key(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.substring(F.sha2(F.concat(F.lit("Document "), F.col("doc_id"), F.lit(":"), F.substring("text", 1, 5000)), 256), 1, 16).alias("cache_key"))
+
+
+@query("SELECT doc_id, replace(regexp_replace(regexp_replace(text, '[0-9]{3,}', '<digits>', 'g'), '(?i)token', '<t>', 'g'), ' ', '_') AS masked FROM documents")
+def pii_mask_own(spark, sf_dir):
+    """Patterns of one's own, and a filter after them."""
+    patterns = [("digits", "[0-9]{3,}", "<digits>"), ("token", "(?i)token", "[t]")]
+    masked = T.pii_mask(F.col("text"), {"token": "<t>"}, patterns, (lambda c: F.replace(c, F.lit(" "), F.lit("_")),))
+    return table(spark, sf_dir, "documents").select("doc_id", masked.alias("masked"))

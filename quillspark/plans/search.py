@@ -129,3 +129,10 @@ def rag_prompt(spark, sf_dir):
 def answer_confidence(spark, sf_dir):
     mean = F.coalesce(F.avg("score"), F.lit(0.0))
     return _hits(spark, sf_dir).where("rank <= 4").groupBy("query_id").agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)), 6).alias("confidence"))
+
+
+@query(f"{HITS} SELECT query_id, sha256('<documents>' || chr(10) || string_agg('<document id=\"' || rank || '\" title=\"' || title || '\">' || chr(10) || content || chr(10) || '</document>', chr(10) || chr(10) ORDER BY rank) || chr(10) || '</documents>' || chr(10) || chr(10) || '<question>' || chr(10) || 'Question ' || query_id || chr(10) || '</question>' || chr(10) || chr(10) || 'Based on the documents provided above, answer the question. Include citations to specific documents.') AS prompt_sha256 FROM t WHERE rank <= 3 GROUP BY query_id")
+def document_prompt(spark, sf_dir):
+    results = _hits(spark, sf_dir).where("rank <= 3")
+    questions = results.select("query_id").distinct().withColumn("question", F.concat(F.lit("Question "), F.col("query_id")))
+    return R.document_prompts(questions, results).select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"))

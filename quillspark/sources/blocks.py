@@ -32,8 +32,8 @@ def _labelled(label: Column) -> Column:
     return F.concat(F.lit("["), label, F.when(caption != "", F.concat(F.lit(": "), caption)).otherwise(""), F.lit("]"))
 
 
-def line() -> Column:
-    """The text of a block by its type; types without text of their own are empty."""
+def line(own: dict[str, Column] | None = None) -> Column:
+    """The text of a block by its type; types without text of their own are empty. ``own`` texts stand in for those of some types, or add types."""
     text, url = F.coalesce("text", F.lit("")), F.coalesce("url", F.lit(""))
     title = F.coalesce("text", F.lit("제목 없음"))
     by_type = {
@@ -55,11 +55,12 @@ def line() -> Column:
         "child_page": F.concat(F.lit("[하위 페이지: "), title, F.lit("]")),
         "child_database": F.concat(F.lit("[하위 데이터베이스: "), title, F.lit("]")),
     }
+    by_type |= own or {}
     return reduce(lambda c, kv: c.when(F.col("type") == kv[0], kv[1]), by_type.items(), F.when(F.lit(False), "")).otherwise("")
 
 
-def page_texts(blocks: DataFrame) -> DataFrame:
-    """(page_id, content): the lines of each page that aren't blank, in reading order, with a blank line between."""
-    lines = in_order(blocks).select("page_id", "path", line().alias("line")).where(F.trim("line") != "")
+def page_texts(blocks: DataFrame, own: dict[str, Column] | None = None) -> DataFrame:
+    """(page_id, content): the lines of each page that aren't blank, in reading order, with a blank line between; ``own`` as for ``line``."""
+    lines = in_order(blocks).select("page_id", "path", line(own).alias("line")).where(F.trim("line") != "")
     whole = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("lines"))
     return whole.select("page_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("content"))
