@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
-from ..queries import query, table
+from ..registry import query, table
 
 TYPE = "CASE WHEN min(doc_id) % 2 = 0 THEN 'notion' ELSE 'swagger' END"
 SOURCES = f"(SELECT min(doc_id) AS source_id, source AS name, {TYPE} AS source_type FROM documents WHERE source IS NOT NULL GROUP BY source)"

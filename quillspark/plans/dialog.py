@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import reaction_rating as rating_of
 from ..operators import dialog as D
 from ..operators import tables as B
-from ..queries import query, table
+from ..registry import query, table
 from .scalars import RATING_SQL, REACTION_SQL, reactions
 
 MESSAGES = "(SELECT * FROM conversations WHERE role IN ('user', 'assistant'))"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import tables as B
-from ..queries import query, table
+from ..registry import query, table
 from .search import WORDS
 
 WINDOWS = f"(SELECT doc_id, i::BIGINT AS chunk_index, array_to_string(w[i * 450 + 1 : i * 450 + 500], ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 450 + 1)) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) > 0))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from ..queries import query, table
+from ..registry import query, table
 from ..sources import files as S
 from .search import SCORED, _asked
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..queries import query, table
+from ..registry import query, table
 from ..streaming import handlers as H
 
 KINDS = ["+1", "x", "eyes", "heart"]

@@ -8,9 +8,9 @@ from ..functions import model_json as M
 from ..operators import chunking as C
 from ..operators import indexing as I
 from ..operators import retrieval as R
-from ..queries import query, table
+from ..registry import query, table
 from .documents import DIFF, WINDOWS, snapshots
-from .search import HITS, _hits
+from .search import ANSWER, HITS, _hits
 
 
 def _refreshed(spark, sf_dir):
@@ -82,11 +82,6 @@ def extracted_once(spark, sf_dir):
     return I.once_per(docs, "cache_key", say, "text", "summary").select("doc_id", "cache_key", F.when(F.col("text").isNotNull(), F.col("summary")).alias("summary"))
 
 
-ANSWER = f"""{HITS}, r AS (SELECT * FROM t WHERE score >= 0.35 AND rank <= 5), b AS (SELECT *, sum(length(content) + length(title) + 50) OVER (PARTITION BY query_id ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM r),
- k AS (SELECT * FROM b WHERE used <= 16000), p AS (SELECT query_id, count(*) AS n, sum(length(content))::BIGINT AS chars, string_agg(source, ',' ORDER BY source) AS all_sources FROM k GROUP BY query_id),
- c AS (SELECT query_id, string_agg(source, ',' ORDER BY source) AS cited FROM (SELECT DISTINCT query_id, source FROM k) GROUP BY query_id)"""
-
-
 @query(f"{ANSWER} SELECT q.query_id, coalesce(p.n, 0) AS n_documents, c.cited, CASE WHEN p.n IS NULL OR p.n % 2 = 0 THEN '관련 문서를 찾을 수 없습니다. 다른 키워드로 질문해 주세요.' ELSE p.n || ' documents of ' || p.chars END AS answer FROM (SELECT DISTINCT query_id FROM t) q LEFT JOIN p ON p.query_id = q.query_id LEFT JOIN c ON c.query_id = q.query_id")
 def retrieved_answer(spark, sf_dir):
     """From the search to the answer in one plan; the stand-in for the model says nothing to an even number of documents."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import near_vectors as N
-from ..queries import query, table
+from ..registry import query, table
 
 #: The copy of a vector is moved along a diagonal by a tenth of its id's last digit.
 DRIFTED = "SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x, i: (x::DOUBLE + (vec_id % 10) * 0.0125 * (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END))::FLOAT) FROM embeddings"

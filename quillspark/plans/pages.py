@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import page_records as P
-from ..queries import query, shared_folder, table
+from ..registry import query, shared_folder, table
 from ..sources import paged
 
 

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import retrieval as R
-from ..queries import query, table
-from .indexing import ANSWER
-from .search import WORDS, _hits
+from ..registry import query, table
+from .search import ANSWER, WORDS, _hits
 
 UUID = "regexp_replace(substr(sha256(doc_id || ':{}:' || {}), 1, 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
 COUNTS = "list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: (length({0}) - length(replace({0}, v, '')))::DOUBLE)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import retrieval as R
-from ..queries import query, table
+from ..registry import query, table
 from .search import COS
 
 RESULTS = f"(SELECT query_id, ql, rank, ql = label AS relevant FROM (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id AS id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id) WHERE rank <= 10)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import records as P
-from ..queries import query, table
+from ..registry import query, table
 
 
 def _payloads(spark, sf_dir):

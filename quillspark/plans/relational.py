@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..queries import query, table
+from ..registry import query, table
 
 REVENUE = "l_extendedprice * (1 - l_discount)"
 

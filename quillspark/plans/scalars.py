@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..queries import query, table
+from ..registry import query, table
 
 
 def _docs(spark, sf_dir):

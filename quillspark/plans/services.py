@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import messages as M
-from ..queries import query, table
+from ..registry import query, table
 from ..sources import blocks as B
 
 WIDTH = 3900 - len(M.CONTINUED)

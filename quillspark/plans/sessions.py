@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import model_json as M
 from ..operators import sessions as S
-from ..queries import query, table
+from ..registry import query, table
 
 COLUMNS = ["conv_id", "turn", "role", "text"]
 

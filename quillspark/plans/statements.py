@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import chunk_function, statements
-from ..queries import query, table
+from ..registry import query, table
 from ..sources import jdbc
 from .documents import WINDOWS
 

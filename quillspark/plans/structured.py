@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..queries import query, table
+from ..registry import query, table
 from ..sources import openapi as O
 
 #: The same text in Spark and in SQL: shipments of a nation in version 3, depots of odd nations in version 2.

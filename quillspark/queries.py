@@ -1,46 +1,10 @@
-"""All queries of the package, by name, and their SQL. Modules of quillspark.plans add theirs with ``query``."""
+"""All queries of the package, by name, and their SQL."""
 
-from __future__ import annotations
-
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable
 from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with equivalent SQL where there is any."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: in spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quillspark-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from .registry import ORACLES, QUERIES
 
+__all__ = ["ORACLES", "QUERIES"]
 
 for _name in ("search", "scalars", "documents", "dialog", "relational", "quality", "structured", "services", "records", "catalog", "sessions", "indexing", "files", "near", "pages", "statements", "handlers", "parents"):
     import_module(f"quillspark.plans.{_name}")
