@@ -16,7 +16,7 @@ BY_QUERY = f"(SELECT query_id, any_value(ql) AS label, coalesce(min(rank) FILTER
 def _by_query(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 100 = 0")
-    top = R.top_k(R.similarities(asked, vectors).where("id <> query_id"), 10)
+    top = R.nearest(asked, vectors, 10, itself=False)
     wanted = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
     judged = top.join(vectors.select(F.col("vec_id").alias("id"), "label"), "id").join(wanted, "query_id")
     hits = E.hits(judged.withColumn("relevant", F.col("label") == F.col("wanted")), (1, 5, 10), F.max("score").alias("top_score"))
