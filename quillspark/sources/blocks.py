@@ -7,24 +7,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..registry import shared_folder
+
+#: Most levels of a tree.
+LEVELS = 100
+
 BLOCKS = "page_id string, block_id string, parent_id string, position int, type string, text string, caption string, url string, language string, icon string, name string, checked boolean, cells array<string>"
 
 
 def in_order(blocks: DataFrame) -> DataFrame:
     """``blocks`` (BLOCKS) with depth and path, whose order is the pre-order of the trees.
 
-    A recursive query walks the levels. What hangs on no top block (null parent) is left out. Spark fails, rather than
-    return a part, beyond its limits spark.sql.cteRecursionLevelLimit and spark.sql.cteRecursionRowLimit.
+    One join a level, each of which is written once, so that the number of rows has no limit. What hangs on no top block (null
+    parent) is left out. Trees of more than LEVELS levels fail, rather than lose a part: their ids go round in a circle.
     """
-    return blocks.sparkSession.sql(
-        """WITH RECURSIVE walked AS (
-             SELECT page_id, block_id, 0 AS depth, lpad(CAST(position AS string), 8, '0') AS path FROM {blocks} WHERE parent_id IS NULL
-             UNION ALL
-             SELECT b.page_id, b.block_id, w.depth + 1, concat(w.path, '/', lpad(CAST(b.position AS string), 8, '0'))
-             FROM walked w JOIN {blocks} b ON b.page_id = w.page_id AND b.parent_id = w.block_id)
-           SELECT b.*, w.depth, w.path FROM {blocks} b JOIN walked w ON b.page_id = w.page_id AND b.block_id = w.block_id""",
-        blocks=blocks,
-    )
+    spark, base, walked = blocks.sparkSession, shared_folder(blocks.sparkSession, "blocks"), []
+    step = F.lpad(F.col("position").cast("string"), 8, "0")
+    level = blocks.where("parent_id IS NULL").select("page_id", "block_id", F.lit(0).alias("depth"), step.alias("path"))
+    while True:
+        level.write.parquet(f"{base}/{len(walked)}")
+        level = spark.read.schema(level.schema).parquet(f"{base}/{len(walked)}")
+        if walked and level.isEmpty():
+            break
+        walked.append(level)
+        if len(walked) > LEVELS:
+            raise ValueError(f"blocks of more than {LEVELS} levels")
+        up = level.select("page_id", F.col("block_id").alias("parent_id"), "depth", F.col("path").alias("above"))
+        below = blocks.select("page_id", "block_id", "parent_id", "position").join(up, ["page_id", "parent_id"])
+        level = below.select("page_id", "block_id", (F.col("depth") + 1).alias("depth"), F.concat("above", F.lit("/"), step).alias("path"))
+    return blocks.join(reduce(DataFrame.unionByName, walked), ["page_id", "block_id"]).select(*blocks.columns, "depth", "path")
 
 
 def _labelled(label: Column) -> Column:
