@@ -7,19 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import chunk_function, statements
-from ..registry import query, table
-from ..sources import jdbc
+from ..registry import query, shared_folder, table
+from ..sources import derby_files
 from .documents import WINDOWS
 
 
 @query("SELECT o_orderkey AS orderkey, round(o_totalprice, 2) AS price FROM orders WHERE o_totalprice > 150000 AND o_orderkey % 2 = 0")
 def jdbc_orders(spark, sf_dir):
-    """The orders, put into a database in the driver's JVM (so on one machine only) and read from it along their keys; the price is compared there."""
-    url = f"jdbc:derby:memory:orders{uuid.uuid4().hex};create=true"
-    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    """The orders, put into databases of a million rows at most in the shared folder and read from them along their keys; the price is compared there."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    orders.coalesce(1).write.format("jdbc").options(url=url, dbtable="orders", batchsize="5000", **driver).save()
-    found = jdbc.scan(spark, url, "orders", '"o_orderkey"', 4, **driver).where("o_totalprice > 150000")
+    found = derby_files.scan(orders, "orders", "o_orderkey", shared_folder(spark, "orders")).where("o_totalprice > 150000")
     return found.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("orderkey"), F.round("o_totalprice", 2).alias("price"))
 
 
