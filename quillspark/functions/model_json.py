@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 METADATA = "struct<content_type:string,topics:array<string>,difficulty:string,has_code_samples:boolean,key_entities:array<string>,summary:string>"
 # Property names in which a page's title is looked for, in this order, and the title of a page without one.
 TITLE_NAMES = ["title", "Title", "Name", "name", "이름"]
@@ -15,15 +17,14 @@ UNTITLED = "제목 없음"
 
 def fenced_json(answer: Column) -> Column:
     """What stands in the first code block, one marked as JSON before others; else the whole answer, trimmed."""
-    marked, plain = r"(?s)```json(.*?)(?:```|$)", r"(?s)```(.*?)(?:```|$)"
-    return F.trim(F.when(answer.contains("```json"), F.regexp_extract(answer, marked, 1)).when(answer.contains("```"), F.regexp_extract(answer, plain, 1)).otherwise(answer))
+    after = lambda a, mark: F.get(F.split(a, mark, 2), F.lit(1))
+    return let(answer, lambda a: F.trim(F.coalesce(F.substring_index(F.coalesce(after(a, "```json"), after(a, "```")), "```", 1), a)))
 
 
 def metadata(answer: Column) -> Column:
     """METADATA of an answer: five topics, ten entities and 500 characters at most; defaults for what is missing or can't be read."""
-    found = F.from_json(fenced_json(answer), METADATA)
     none = F.array().cast("array<string>")
-    return F.struct(
+    fields = lambda found: F.struct(
         F.coalesce(found["content_type"], F.lit("general")).alias("content_type"),
         F.slice(F.coalesce(found["topics"], none), 1, 5).alias("topics"),
         F.coalesce(found["difficulty"], F.lit("intermediate")).alias("difficulty"),
@@ -31,6 +32,7 @@ def metadata(answer: Column) -> Column:
         F.slice(F.coalesce(found["key_entities"], none), 1, 10).alias("key_entities"),
         F.substring(F.coalesce(found["summary"], F.lit("")), 1, 500).alias("summary"),
     )
+    return let(F.from_json(fenced_json(answer), METADATA), fields)
 
 
 def iso_time(ts: Column) -> Column:
