@@ -1,10 +1,9 @@
-"""Chunkers: word windows in Column expressions; recursive and hierarchical ones in Arrow batches."""
+"""Chunkers: word windows in Column expressions; recursive and hierarchical ones in Python, text by text."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,11 +69,8 @@ def _emit(pieces: list[str], size: int, overlap: int, chunks: list[str]) -> None
 def recursive_chunks(size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap):
     """A Column function text -> array of chunks."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursive(t, size, overlap))
-
-    return cut
+    # A hundred texts at a time: batches of Arrow would hold 10,000, however long they are, and all their chunks.
+    return F.udf(lambda text: split_recursive(text, size, overlap), T.ArrayType(T.StringType()), useArrow=False)
 
 
 def _numbered(docs: DataFrame, parts: Column, kind: str | None = None) -> DataFrame:
