@@ -68,3 +68,15 @@ def test_of_little(spark):
     assert N.near_duplicates(none).collect() == [] == N.near_duplicates(spark.createDataFrame([(1, [1.0, 2.0])], none.schema), exact=True).collect()
     with pytest.raises(ValueError):
         N.near_duplicates(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], none.schema))
+
+
+def test_a_vector_is_not_copied_for_each_band_or_cell(spark):
+    """Bands carry sketches; a vector without structure around it is a guest of blocks, not of each of the cells."""
+    rows = spark.createDataFrame(clustered(3000, 16, 3000, 1.0), "vec_id long, embedding array<double>").select("vec_id", "embedding")
+    single = rows.select(rows.vec_id.alias("id"), rows.embedding.alias("vec"))
+    assert "vec" not in N._buckets(N._banded(single, 16, 20, 12, 7)).columns
+    pivots = np.array([r.vec for r in single.limit(54).collect()])
+    pivots /= np.linalg.norm(pivots, axis=1)[:, None]
+    first, count = N._blocks(single, pivots, N.TILE)
+    blocks = int((first + count).max())
+    assert blocks < 10 and N._celled(single, pivots, 0.3, first, count).count() <= 3000 * blocks
