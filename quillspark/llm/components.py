@@ -1,7 +1,10 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds."""
+"""Connected components of an edge table by alternating large-star and small-star rounds; what fits into a task ends there."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from .scratch import Settled
 
 #: Parts into which a node's neighbours are dealt when they learn its smallest one, so that a hub isn't one task.
 PARTS = 8
+#: Edges that one task joins; while there are more, rounds go on. It doesn't grow with the input.
+SMALL = 8_192
 
 
 def _told(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -29,11 +34,31 @@ def _round(edges: DataFrame) -> DataFrame:
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the edges (u, v) of all batches, by union-find."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            low, high = sorted((top(u), top(v)))
+            up[high] = low
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([top(x) for x in up], kind)], ["node", "component"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL) -> DataFrame:
     """(node, component): each node that has an edge to another, with the smallest node it reaches.
 
     Rows with a null end and loops are left out; repeated edges count once. Every round is written to the shared
-    folder, so the lineage stays short and the number of rounds grows with the logarithm of the path lengths.
+    folder, so the lineage stays short and the number of rounds grows with the logarithm of the path lengths. ``small``
+    edges at most are joined in one task instead: a round costs the driver seven shuffles however few they are.
     """
     start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNull().alias("n1"), F.col(b).isNull().alias("n2"))
     now = Settled(start.where("not n1 and not n2 and u != v").select("u", "v").distinct(), "edges")
@@ -42,6 +67,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = now.df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first()
         if mark == sign or not mark[0]:
             break
+        if mark[0] <= small:
+            kind = now.df.schema["u"].dataType.simpleString()
+            return now.df.coalesce(1).mapInArrow(_joined, f"node {kind}, component {kind}")
         sign, after = mark, Settled(_round(now.df), "edges")
         now.drop()
         now = after
