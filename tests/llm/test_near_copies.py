@@ -79,3 +79,23 @@ def test_null_and_repeated_ids_lose_no_text(spark):
 
 def test_empty(spark):
     assert near_copies.keep_first(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_no_pair_is_left_to_chance(spark):
+    """Pairs of a similarity of 0.8 that share none of the 20 MinHash bands the stage once had."""
+    pairs = [43772, 151615, 176558, 181188, 195492]
+    texts = [" ".join(f"w{i}x{k}" for k in range(12)) + end for i in pairs for end in (" a", " b")]
+    data = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, data, SF).collect()) == list(range(0, 10, 2)) == sorted(set(brute(texts)))
+
+
+def test_pairs_are_compared_in_lists_or_in_cells(spark):
+    rng = random.Random(2)
+    sets = [set(rng.sample(range(10**6), 50)) for _ in range(30)]
+    sets += [set(list(s)[:46]) | {-k} for k, s in enumerate(sets, 1)]
+    bands = spark.createDataFrame([(7, i) for i in range(60)] + [(8, 3), (8, 33)], "band long, unit long")
+    held = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "unit long, shingles array<long>")
+    want = components_of(60, [(i, i - 30) for i in range(30, 60)])
+    for part, listed in ((9, 4), (9, 64), (2_000, 1)):
+        got = dict(map(tuple, near_copies.links(bands, held, part=part, listed=listed).collect()))
+        assert [got.get(i, i) for i in range(60)] == want
